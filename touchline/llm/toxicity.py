@@ -1,10 +1,11 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton in folded text.
 
 Folding lower-cases, takes look-alike letters of other scripts and accents to plain ones, and takes digits and signs
-that stand for letters inside a word to those letters (i, l, 1, ! and | fall together). The lexicon is learnt: a folded
-word's weight is the log ratio of its document shares among toxic and clean labelled rows. A hit counts when it is a
-whole word outside every exception phrase. The summed weights, alone and by length, go through a logistic curve fitted
-on the same labelled rows, so the score lies between 0 and 1.
+that stand for letters inside a word to those letters (i, l, 1, ! and | fall together). The lexicon is learnt: the weight
+of a folded word, or of a word's beginning (written with a star), is the log ratio of its document shares among toxic
+and clean labelled rows. A hit counts when it is a whole word, or the start of one for a beginning, outside every
+exception phrase; of hits with one start the heaviest counts. The summed weights, alone and by length, go through a
+logistic curve fitted on the same labelled rows, so the score lies between 0 and 1.
 
 At most ``sample_docs`` labelled rows teach (a documented bound, chosen by a hash of the text); the lexicon holds at
 most ``lexicon`` words. Defined results: null and empty texts score as a text without hits; rows of ``labels`` with a
@@ -43,6 +44,8 @@ STANDS = str.maketrans(STAND_INS)
 INSIDE = re.compile(r"[0134578@$!|]+(?=[^\W\d_])|(?<=[^\W\d_])[013457]+(?!\w)")
 MARKS = re.compile("[̀-ͯ]+")
 WORDS = re.compile(r"[^\W\d_]+")
+#: Lengths of the beginnings that may enter the lexicon.
+BEGINNINGS = (4, 5, 6)
 
 
 def fold(text: str | None) -> str:
@@ -52,36 +55,44 @@ def fold(text: str | None) -> str:
     return INSIDE.sub(lambda m: m[0].translate(STANDS), text).translate(JOINED)
 
 
+def entries(folded: str) -> set[str]:
+    """A text's words, and with a star their beginnings."""
+    words = {*WORDS.findall(folded)}
+    return words | {f"{w[:n]}*" for w in words for n in BEGINNINGS if len(w) > n}
+
+
 def _word_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     found = (Counter(), Counter())
     docs = [0, 0]
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
-            found[toxic].update({*WORDS.findall(fold(text))})
+            found[toxic].update(entries(fold(text)))
             docs[toxic] += 1
     for toxic in (0, 1):
         yield pd.DataFrame({"word": ["", *found[toxic]], "toxic": toxic, "n": [docs[toxic], *found[toxic].values()]})
 
 
-def learn_lexicon(labelled: DataFrame, *, lexicon: int = 2_000, least_docs: int = 3, least_share: float = 0.02, least_weight: float = 1.5) -> dict[str, float]:
+def learn_lexicon(labelled: DataFrame, *, lexicon: int = 2_000, least_docs: int = 5, least_share: float = 0.02, least_weight: float = 2.0, least_beginning: float = 3.5) -> dict[str, float]:
     """``labelled`` has text and toxic (0 or 1). A word enters with enough toxic documents and a large enough log ratio."""
     counts = labelled.mapInPandas(_word_docs, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
     whole = counts.filter("word = ''").agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     bad, good = int(whole[0]), int(whole[1])
     weight = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    kept = counts.filter(F.col("word") != "").filter(F.col("bad") >= max(least_docs, least_share * bad)).select("word", weight.alias("w")).filter(F.col("w") >= least_weight)
+    kept = counts.filter(F.col("word") != "").filter(F.col("bad") >= max(least_docs, least_share * bad)).select("word", weight.alias("w")).filter(F.col("w") >= F.when(F.col("word").endswith("*"), least_beginning).otherwise(least_weight))
     return {r["word"]: r["w"] for r in kept.orderBy(F.desc("w"), "word").limit(lexicon).collect()}
 
 
 def automaton(lexicon: dict[str, float]):
-    """Words carry their weight, exception phrases carry None."""
+    """Each entry carries its length and its weights as a word and as a beginning; exception phrases carry neither."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
     for word, weight in lexicon.items():
-        found.add_word(word, (len(word), weight))
+        stem = word.rstrip("*")
+        held = found.get(stem, (0, None, None))
+        found.add_word(stem, (len(stem), weight if stem == word else held[1], weight if stem != word else held[2]))
     for phrase in EXCEPTIONS:
-        found.add_word(fold(phrase), (len(fold(phrase)), None))
+        found.add_word(fold(phrase), (len(fold(phrase)), None, None))
     found.make_automaton()
     return found
 
@@ -89,12 +100,17 @@ def automaton(lexicon: dict[str, float]):
 def features(matcher, text: str | None) -> tuple[float, float]:
     """Log of the summed weights of a text's hits, and of that sum per hundred words."""
     folded = fold(text)
-    hits, harmless = [], []
-    for end, (size, weight) in matcher.iter(folded):
+    hits: dict[int, tuple[int, float]] = {}
+    harmless = []
+    for end, (size, whole, beginning) in matcher.iter(folded):
         start = end + 1 - size
-        if (start == 0 or not folded[start - 1].isalnum()) and (end + 1 == len(folded) or not folded[end + 1].isalnum()):
-            (harmless if weight is None else hits).append((start, end, weight))
-    total = sum(w for s, e, w in hits if not any(a <= s and e <= b for a, b, _ in harmless))
+        if start == 0 or not folded[start - 1].isalnum():
+            closed = end + 1 == len(folded) or not folded[end + 1].isalnum()
+            if whole is None and beginning is None:
+                harmless += [(start, end)] * closed
+            elif (weight := whole if closed else beginning) is not None:
+                hits[start] = max(hits.get(start, (0, 0.0)), (end, weight), key=lambda x: x[1])
+    total = sum(w for s, (e, w) in hits.items() if not any(a <= s and e <= b for a, b in harmless))
     return (math.log1p(total), math.log1p(100 * total / max(1, folded.count(" ")))) if total else (0.0, 0.0)
 
 

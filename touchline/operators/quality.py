@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gameweek import in_order
@@ -38,7 +38,7 @@ def impute(df: DataFrame, columns: list[str], method: str = "mean") -> DataFrame
     """
     df = df.withColumns({c: F.when(~_gap(df, c), F.col(c).cast("double")) for c in columns})
     if method == "forward_fill":
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(in_order().rowsBetween(-(1 << 62), 0)) for c in columns})
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)) for c in columns})
     if method == "zero":
         return df.fillna(0.0, columns)
     if method == "median":

@@ -215,11 +215,13 @@ def choose(group: pd.DataFrame, *, budget: int, cap: int, most_nodes: int) -> tu
     bound, price = _hull(root[4], budget)
     todo, n = [(-root[0], 0, root, frozenset(), frozenset())], 0
     while todo:
-        _, _, found, forced, banned = heapq.heappop(todo)
+        if n >= most_nodes:  # no more time for a proof: go on from the most decided
+            todo.sort(key=lambda x: (-len(x[3]) - len(x[4]), x[0], x[1]))
+        _, _, found, forced, banned = todo.pop(0) if n >= most_nodes else heapq.heappop(todo)
         objective, starters, others, formation, _ = found
         over = _club_over(team, starters + others, cap)
-        if over is None or n >= most_nodes:
-            return objective, starters, others, formation, bound, price, over is None
+        if over is None:
+            return objective, starters, others, formation, bound, price, n < most_nodes or all(-x[0] <= objective for x in todo)
         over = [x for x in over if x in forced] + [x for x in over if x not in forced]
         club = {p for p, t in team.items() if t == team[over[0]]}
         children = [(forced | set(over[:i]), banned | {over[i]}) for i in range(cap) if over[i] not in forced]
@@ -236,7 +238,7 @@ def exact(candidates: DataFrame, *, budget: float = fixed.BUDGET, cap: int = fix
 
     One row per chosen player: role, captain (best mean, ties to the smaller id), formation, objective, the bound of the
     relaxation (club limits and whole players given up), the price of one more unit of money there, and whether the search
-    ended by proof (``exact``; false after ``most_nodes`` nodes, when the squad may exceed a club limit).
+    ended by proof (``exact``; after ``most_nodes`` nodes the first legal squad is taken, and the bound says how far off it can be).
     """
     tenths = round(budget * 10)
 

@@ -37,6 +37,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """From now on Arrow batches to Python hold about ``size`` bytes at most, so that long texts don't fill a worker's memory."""
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) or "-1"
+    digits = "".join(c for c in now if c.isdigit() or c == "-")
+    if not now.rstrip("bB").lstrip("-").isdigit() or int(digits) <= 0 or int(digits) > size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as BIGINT; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

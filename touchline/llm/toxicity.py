@@ -2,12 +2,12 @@
 
 Folding lower-cases, takes look-alike letters of other scripts and accents to plain ones, and takes digits and signs
 that stand for letters inside a word to those letters (i, l, 1, ! and | fall together). The lexicon is learnt: the weight
-of a folded word, or of a word's beginning (written with a star), is the log ratio of its document shares among toxic
-and clean labelled rows. A hit counts when it is a whole word, or the start of one for a beginning, outside every
+of a folded word, or of a word's beginning (written with a star), is a cautious log ratio of its occurrences in toxic and
+in clean labelled rows. A hit counts when it is a whole word, or the start of one for a beginning, outside every
 exception phrase; of hits with one start the heaviest counts. The summed weights, alone and by length, go through a
 logistic curve fitted on the same labelled rows, so the score lies between 0 and 1.
 
-At most ``sample_docs`` labelled rows teach (a documented bound, chosen by a hash of the text); the lexicon holds at
+At most ``sample_docs`` labelled rows teach (a documented bound, chosen by a hash of the id, which no score sees); the lexicon holds at
 most ``lexicon`` words. Defined results: null and empty texts score as a text without hits; rows of ``labels`` with a
 null id or label teach nothing; repeated labels of a document count once, the larger label holding.
 """
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, id_crc
+from .common import bounded_batches, bounded_sample, cut_lineage, id_crc
 
 # Letters of other scripts and the plain letters that they look like.
 LOOK_ALIKES = {
@@ -45,7 +45,7 @@ INSIDE = re.compile(r"[0134578@$!|]+(?=[^\W\d_])|(?<=[^\W\d_])[013457]+(?!\w)")
 MARKS = re.compile("[̀-ͯ]+")
 WORDS = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings that may enter the lexicon.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
 
 
 def fold(text: str | None) -> str:
@@ -55,30 +55,41 @@ def fold(text: str | None) -> str:
     return INSIDE.sub(lambda m: m[0].translate(STANDS), text).translate(JOINED)
 
 
-def entries(folded: str) -> set[str]:
-    """A text's words, and with a star their beginnings."""
-    words = {*WORDS.findall(folded)}
-    return words | {f"{w[:n]}*" for w in words for n in BEGINNINGS if len(w) > n}
+def entries(folded: str) -> Counter:
+    """A text's words and with a star their beginnings, with how often each occurs."""
+    out = Counter(WORDS.findall(folded))
+    for w, n in list(out.items()):
+        for size in BEGINNINGS:
+            if len(w) > size:
+                out[f"{w[:size]}*"] += n
+    return out
 
 
 def _word_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """By word and label: its documents, and their sum of log2(1 + occurrences). The empty word carries the documents."""
     found = (Counter(), Counter())
-    docs = [0, 0]
+    mass = (Counter(), Counter())
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
-            found[toxic].update(entries(fold(text)))
-            docs[toxic] += 1
-    for toxic in (0, 1):
-        yield pd.DataFrame({"word": ["", *found[toxic]], "toxic": toxic, "n": [docs[toxic], *found[toxic].values()]})
-
-
-def learn_lexicon(labelled: DataFrame, *, lexicon: int = 2_000, least_docs: int = 5, least_share: float = 0.02, least_weight: float = 2.0, least_beginning: float = 3.5) -> dict[str, float]:
-    """``labelled`` has text and toxic (0 or 1). A word enters with enough toxic documents and a large enough log ratio."""
-    counts = labelled.mapInPandas(_word_docs, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-    whole = counts.filter("word = ''").agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    bad, good = int(whole[0]), int(whole[1])
-    weight = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    kept = counts.filter(F.col("word") != "").filter(F.col("bad") >= max(least_docs, least_share * bad)).select("word", weight.alias("w")).filter(F.col("w") >= F.when(F.col("word").endswith("*"), least_beginning).otherwise(least_weight))
+            found[toxic][""] += 1
+            for word, n in entries(fold(text)).items():
+                found[toxic][word] += 1
+                mass[toxic][word] += math.log2(1 + n)
+    for toxic in (y for y in (0, 1) if found[y]):
+        yield pd.DataFrame({"word": list(found[toxic]), "toxic": toxic, "n": list(found[toxic].values()), "mass": [mass[toxic][w] for w in found[toxic]]})
+
+
+def learn_lexicon(labelled: DataFrame, *, lexicon: int = 2_000, least_docs: int = 5, least_share: float = 0.02, least_weight: float = 1.5) -> dict[str, float]:
+    """``labelled`` has text and toxic (0 or 1). An entry's weight is the log ratio of its damped occurrences per toxic and per
+    clean document, less two standard errors; it enters with enough toxic documents and weight."""
+    side = lambda c, y: F.sum(F.when(F.col("toxic") == y, F.col(c)).otherwise(0))
+    counts = labelled.mapInPandas(_word_docs, "word string, toxic int, n long, mass double").groupBy("word").agg(side("n", 1).alias("bad"), side("n", 0).alias("good"), side("mass", 1).alias("bad_mass"), side("mass", 0).alias("good_mass"))
+    counts = cut_lineage(counts.filter((F.col("bad") >= least_docs) | (F.col("word") == "")))
+    whole = counts.filter("word = ''").first()
+    bad, good = (int(whole["bad"]), int(whole["good"])) if whole else (0, 0)
+    ratio = F.log((F.col("bad_mass") + 0.5) / (bad + 1.0)) - F.log((F.col("good_mass") + 0.5) / (good + 1.0))
+    weight = ratio - 2 * F.sqrt(1 / F.col("bad") + 1 / (F.col("good") + 0.5))
+    kept = counts.filter(F.col("word") != "").filter(F.col("bad") >= max(least_docs, least_share * bad)).select("word", F.round(weight, 9).alias("w")).filter(F.col("w") >= least_weight)
     return {r["word"]: r["w"] for r in kept.orderBy(F.desc("w"), "word").limit(lexicon).collect()}
 
 
@@ -133,9 +144,11 @@ def held_out(col: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = 30_000) -> tuple[dict[str, float], list[float]]:
     """The lexicon and the curve's coefficients, from labelled rows that aren't held out."""
+    bounded_batches(docs.sparkSession)
     told = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").filter(~held_out()).join(told, "doc_id").select("text", "toxic")
-    rows = bounded_sample(rows, sample_docs, by="text")
+    # the sample bounds what is broadcast: at most about sample_docs ids with a label each; texts don't shuffle
+    told = bounded_sample(told, sample_docs, by="doc_id")
+    rows = cut_lineage(docs.select("doc_id", "text").filter(~held_out()).join(F.broadcast(told), "doc_id").select("text", "toxic"))
     lexicon = learn_lexicon(rows)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,6 +173,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], curve: list[float], *, tex
             z = np.array([features(matcher, t) for t in texts]).reshape(-1, 2) @ np.array(curve[1:]) + curve[0]
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("score", scored(text_col)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

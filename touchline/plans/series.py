@@ -243,6 +243,15 @@ def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.status_report(tables.news_snapshots(spark, sf_dir))
 
 
+@query(f"""WITH {S.NEWS}, {S.PF}, n AS (SELECT player_id, arg_max(status, event_id) AS status, arg_max(news_text, event_id) AS news_text FROM news GROUP BY ALL), p AS (SELECT player_id, CAST(sum(points) AS BIGINT) AS total_points FROM pf GROUP BY ALL)
+SELECT player_id, status, news_text, total_points, row_number() OVER (PARTITION BY status ORDER BY total_points DESC, player_id) AS rank FROM n JOIN p USING (player_id) WHERE trim(news_text) <> '' OR status <> 'a' QUALIFY status <> 'a' OR row_number() OVER (PARTITION BY status ORDER BY total_points DESC, player_id) <= 15""")
+def flagged_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players with news by status, best scorers first; of the available ones the first fifteen."""
+    last = tables.news_snapshots(spark, sf_dir).groupBy("player_id").agg(F.max_by("status", "event_id").alias("status"), F.max_by("news_text", "event_id").alias("news_text"))
+    total = tables.player_fixture(spark, sf_dir).groupBy("player_id").agg(F.sum("points").alias("total_points"))
+    return readers.flagged(last.join(total, "player_id"))
+
+
 @query(f"""WITH {_TEAM_FIXTURES}, s AS (SELECT gameweek, team_h AS team, team_a AS opponent, TRUE AS home FROM tf UNION ALL SELECT gameweek, team_a, team_h, FALSE FROM tf),
 d AS (SELECT team, gameweek, avg(CASE WHEN home THEN greatest(1e0, opponent % 5 + 0.5e0) ELSE least(5e0, opponent % 5 + 1.5e0) END) AS difficulty FROM s GROUP BY ALL)
 SELECT team, gameweek, round(difficulty, 6) AS difficulty, round(greatest(0, least(1, (6 - difficulty) / 5)), 6) AS advantage FROM d""")

@@ -144,9 +144,8 @@ def walk_forward(rows: DataFrame, *, strategies: list[tuple] = STRATEGIES, budge
 
     Each strategy and gameweek is a problem of its own; all are solved in parallel. A gameweek without a legal squad gives no row.
     """
-    said = forecasts(gk.valid_players(rows, least_history=least_history, least_players=least_players).select("player_id", "gameweek").join(rows, ["player_id", "gameweek"], "right").select(*rows.columns))
     valid = gk.valid_players(rows, least_history=least_history, least_players=least_players).select("player_id", "gameweek")
-    said = said.join(valid, ["player_id", "gameweek"], "left_semi")
+    said = forecasts(rows).join(valid, ["player_id", "gameweek"], "left_semi")
     risk = lambda c: F.lit(0.0) if c is None else F.sqrt(F.greatest(F.col(c), F.lit(0.0))) if c.endswith("var") else F.col(c)
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.round(F.col(m), 6).alias("mean"), F.round(F.col(m) - w * risk(r), 6).alias("score")) for n, m, r, w in strategies], F.struct(F.lit("oracle").alias("strategy"), F.col("actual").alias("mean"), F.col("actual").alias("score")))).alias("s")
     long = said.select("player_id", "gameweek", "position", "team", "price_tenths", each)

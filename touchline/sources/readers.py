@@ -155,6 +155,13 @@ def status_report(snapshots: DataFrame) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "status")).cast("long")).withColumn("place", F.when(place == 0, 6).otherwise(place).cast("long"))
 
 
+def flagged(players: DataFrame, *, most_available: int = 15) -> DataFrame:
+    """``players`` has player_id, status, news_text and total_points; those with news, ranked by points within their status."""
+    news = players.filter((F.trim("news_text") != "") | (F.col("status") != "a"))
+    ranked = news.withColumn("rank", F.row_number().over(Window.partitionBy("status").orderBy(F.desc("total_points"), "player_id")).cast("long"))
+    return ranked.filter((F.col("status") != "a") | (F.col("rank") <= most_available)).select("player_id", "status", "news_text", "total_points", "rank")
+
+
 DEFAULTS = {"budget": fixed.BUDGET, "club_cap": fixed.CLUB_CAP, "features": {"windows": [3, 5, 10], "lags": [1, 2, 3], "alphas": [0.3, 0.5], "trends": [5, 10]}, "backtest": {"first": 6, "last": 38, "least_history": 5, "least_players": 50}, "news": dict(fixed.NEWS_LIMITS), "fusion": {"default_alpha": fixed.DEFAULT_ALPHA, "floor": fixed.ALPHA_FLOOR, "step": fixed.ALPHA_STEP, "history": fixed.ALPHA_HISTORY}}
 
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from touchline import fixed
-from touchline.functions import arrays, fusion, hmm, kalman
+from touchline.functions import arrays, fusion, hmm
 from touchline.operators import forecast, learned
 
 RNG = np.random.default_rng(42)

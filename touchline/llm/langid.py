@@ -11,7 +11,6 @@ smaller code; labels may be null (such rows teach nothing); with no labelled row
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -22,22 +21,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, id_crc
+from .common import bounded_batches, bounded_sample, id_crc
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: A word tells at most so much against a language (in nats), so one odd word can't decide a text.
 MOST = 5.0
-#: Words whose scores a Python worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Unknown words whose scores a Python worker remembers before it starts anew.
+REMEMBERED = 100_000
 
 
 @dataclass
 class Model:
+    """Scores of known words (at 0) and n-grams (at n) as rows of one matrix: 0 for the likeliest language, less for others."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # at n: the n-grams of length n
+    places: list[dict[str, int]]
+    rows: np.ndarray
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,12 +46,13 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for text, lang in zip(pdf["text"], pdf["lang"]):
             found[lang].update(LETTERS.findall(text.lower()))
-    for lang, counts in found.items():
+    for lang, counts in ((k, v) for k, v in found.items() if v):
         yield pd.DataFrame({"lang": lang, "gram": list(counts), "n": list(counts.values())})
 
 
 def train(docs: DataFrame, *, sample_docs: int = 30_000, words: int = 20_000, grams: int = 6_000) -> Model:
     """``docs`` has text and lang; rows with a null in either teach nothing."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select("text", "lang").filter("text is not null and lang is not null")
     vocabulary = bounded_sample(rows, sample_docs, by="text").mapInPandas(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit("<"), F.col("gram"), F.lit(">"))
@@ -68,52 +70,72 @@ def train(docs: DataFrame, *, sample_docs: int = 30_000, words: int = 20_000, gr
 
 def _model(kept: pd.DataFrame) -> Model:
     langs = sorted(kept["lang"].unique())
-    at = {x: i for i, x in enumerate(langs)}
-    found: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    floor = np.zeros((LONGEST + 1, max(1, len(langs))))
-    for (size, lang), total in kept.groupby(["size", "lang"])["total"].first().items():
-        floor[size, at[lang]] = math.log(0.5 / (total + 1))
-    for lang, size, gram, n, total in kept.itertuples(index=False):
-        row = found[size].get(gram)
-        if row is None:
-            row = found[size][gram] = floor[size].copy()
-        row[at[lang]] = math.log(n / (total + 1))
-    for rows in found:
-        for gram, row in rows.items():
-            rows[gram] = np.maximum(row - row.max(), -MOST)
-    return Model(langs, found[0], found)
-
-
-def word_scores(model: Model, word: str) -> np.ndarray:
-    """How much a word tells against each language: 0 for the likeliest."""
-    known = model.words.get(word)
-    if known is not None:
-        return known
-    padded = f"<{word}>"
-    for n in range(min(LONGEST, len(padded)), 0, -1):
-        rows = [row for i in range(len(padded) - n + 1) if (row := model.grams[n].get(padded[i : i + n])) is not None]
-        if rows:
-            return np.mean(rows, axis=0)
-    return np.zeros(len(model.langs))
+    places: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    at, n = np.empty(len(kept), np.int64), 0
+    for i, (size, gram) in enumerate(zip(kept["size"], kept["gram"])):
+        at[i] = places[size].setdefault(gram, n)
+        n += at[i] == n
+    lang = kept["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
+    size, total = kept["size"].to_numpy(np.int64), kept["total"].to_numpy(float)
+    floor = np.zeros((LONGEST + 1, len(langs)))
+    floor[size, lang] = np.log(0.5 / (total + 1))
+    sizes = np.empty(n, np.int64)
+    sizes[at] = size
+    rows = floor[sizes]
+    rows[at, lang] = np.log(kept["n"].to_numpy(float) / (total + 1))
+    rows -= rows.max(axis=1, keepdims=True) if n and langs else 0
+    return Model(langs, places, np.maximum(rows, -MOST))
 
 
 class Scorer:
+    """Scores texts; words that the model lacks are scored once by their n-grams and then remembered."""
+
     def __init__(self, model: Model):
-        self.model, self.seen = model, {}
+        self.model = model
+        self.rows = np.zeros((len(model.rows) + REMEMBERED, len(model.langs)))
+        self.rows[: len(model.rows)] = model.rows
+        self.forget()
+
+    def forget(self) -> None:
+        self.at = dict(self.model.places[0])
+        self.free = len(self.model.rows)
+        self.rows[self.free :] = 0
+
+    def parts(self, word: str) -> list[int]:
+        """The longest n-grams of the word that the model knows."""
+        padded, all_places = f"<{word}>", self.model.places
+        for n in range(min(LONGEST, len(padded)), 0, -1):
+            places = all_places[n]
+            if found := [k for i in range(len(padded) - n + 1) if (k := places.get(padded[i : i + n])) is not None]:
+                return found
+        return []
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the scores of words that the model lacks: the mean over their parts, 0 without any."""
+        parts = [self.parts(w) for w in words]
+        sizes = np.array([len(p) for p in parts])
+        self.at.update(zip(words, range(self.free, self.free + len(words))))
+        if some := [k for p in parts for k in p]:
+            told = np.flatnonzero(sizes)
+            sums = np.add.reduceat(self.model.rows[some], (np.cumsum(sizes) - sizes)[told])
+            self.rows[self.free + told] = sums / sizes[told, None]
+        self.free += len(words)
 
     def one(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(LETTERS.findall(text.lower())) if text else None
-        if not counts or not self.model.langs:
+        counts = Counter(LETTERS.findall(text.lower())) if text else {}
+        if not self.model.langs or not any(any(map(str.isalpha, w)) for w in counts):
             return UNKNOWN, 0.0
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        seen, rows = self.seen, []
-        for word in counts:
-            row = seen.get(word)
-            if row is None:
-                row = seen[word] = word_scores(self.model, word)
-            rows.append(row)
-        total = np.fromiter(counts.values(), float, len(counts)) @ np.array(rows)
+        total, words = np.zeros(len(self.model.langs)), list(counts)
+        for i in range(0, len(words), REMEMBERED):
+            some = words[i : i + REMEMBERED]
+            places = list(map(self.at.get, some))
+            if None in places:
+                if self.free + len(some) > len(self.rows):
+                    self.forget()
+                    places = list(map(self.at.get, some))
+                self.learn([w for w, k in zip(some, places) if k is None])
+                places = list(map(self.at.get, some))
+            total += np.fromiter(map(counts.get, some), float, len(some)) @ self.rows[places]
         odds = np.exp(total - total.max())
         best = int(np.argmax(odds))
         return self.model.langs[best], float(odds[best] / odds.sum())
@@ -121,6 +143,7 @@ class Scorer:
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """``docs`` with the likeliest language of each whole text and its share of the likelihood."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

@@ -47,28 +47,34 @@ def test_query_equals_brute_force(spark, name):
     assert got == plain_components(rows)
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=4))
 def test_every_close_pair_meets_under_a_key_and_in_a_chain(x, bits):
-    import pandas as pd
-
     y = x
     for b in bits:
         y ^= 1 << b
     a, b = np.uint64(x), np.uint64(y)
-    keys = lambda v: set(next(simhash._posted(iter([pd.DataFrame({"fp": np.array([v]).view(np.int64)})])))["key"])
-    assert keys(a) & keys(b)
+
+    def keys(v, length):
+        if length == 2:
+            return set(simhash.posts(np.array([v]), None, 2, 4)[0].tolist())
+        shorter = np.array(sorted(keys(v, length - 1)), np.uint64)
+        return set(simhash.posts(np.full(len(shorter), v), shorter, length, 4)[0].tolist())
+
+    # they meet, and still do when keys are extended along the chain
+    assert all(keys(a, n) & keys(b, n) for n in (2, 3, 4))
     assert any(simhash.chained(np.array([a ^ b]), i, 4)[0] for i in range(simhash.SEGMENTS))
 
 
-def test_links_equal_all_pairs(spark):
+@pytest.mark.parametrize("most", [16_384, 20, 3])
+def test_links_equal_all_pairs(spark, most):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60, dtype=np.int64)
     near = [int(x) ^ int(sum(1 << int(b) for b in rng.choice(63, k, replace=False))) for x in base for k in (1, 2, 4, 5)]
     fps = [int(x) for x in base] + near
     # a dense ball: every fingerprint within two bits of one centre
     fps += [int(base[0]) ^ (1 << i) ^ (1 << j) for i, j in itertools.combinations(range(12), 2)]
-    found = {tuple(sorted((r["a"], r["b"]))) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    found = {tuple(sorted((r["a"], r["b"]))) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), most=most).collect()}
     wide = lambda v: v & (2**64 - 1)
     assert all((wide(a) ^ wide(b)).bit_count() <= 4 for a, b in found)
     parts = lambda pairs: components(sorted(set(fps)), pairs)

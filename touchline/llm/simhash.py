@@ -9,8 +9,8 @@ candidates, the rest of the chain prunes them, and the full distance decides.
 
 Rows with equal fingerprints are taken together first. A key's fingerprints are searched breadth first, each found one
 leaving the list of the unreached, so a dense group of copies costs about its size and gives a spanning forest rather
-than all its pairs; no link between different fingerprints is lost for the components. A key's list takes 8 bytes for
-each distinct fingerprint that shares 26 bits with it.
+than all its pairs; no link between different fingerprints is lost for the components. A key that too many fingerprints share is
+extended along its chain, so a task's memory has a bound.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; rows with a null id take part and
 don't lower a component's id (a component of null ids alone has a null id); repeated rows stay rows.
@@ -19,6 +19,7 @@ don't lower a component's id (a component of null ids alone has a null id); repe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import bounded_batches, cut_lineage
 from .components import components
 
 SEGMENTS = 5
+#: Fingerprints posted at a time.
+STEP = 5_000
 #: Shingles whose bits are counted at a time, which bounds memory for very long texts.
 BLOCK = 65_536
 
@@ -66,19 +69,54 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", size: int = 4) -> D
     return docs.withColumn("fp", fp(text_col))
 
 
-def _posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each fingerprint under (segment, its bits, bits of the next segment at most one away), as one number."""
-    parts = bounds()
-    for pdf in batches:
-        for some in np.array_split(pdf["fp"].to_numpy(np.int64).view(np.uint64), max(1, len(pdf) // 5_000)):
-            keys = []
-            for i, (low, width) in enumerate(parts):
-                low2, width2 = parts[(i + 1) % SEGMENTS]
-                here = (some >> np.uint64(low)) & np.uint64((1 << width) - 1)
-                after = (some >> np.uint64(low2)) & np.uint64((1 << width2) - 1)
-                for flip in [0, *(1 << b for b in range(width2))]:
-                    keys.append((np.uint64(i) << np.uint64(40)) | (here << np.uint64(20)) | (after ^ np.uint64(flip)))
-            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "fp": np.tile(some, len(keys)).view(np.int64)})
+def masks(width: int, most: int) -> list[int]:
+    """Every choice of at most ``most`` of ``width`` bits."""
+    return [sum(1 << b for b in some) for n in range(most + 1) for some in combinations(range(width), n)]
+
+
+def _segment(fps: np.ndarray, i: int) -> np.ndarray:
+    low, width = bounds()[i % SEGMENTS]
+    return (fps >> np.uint64(low)) & np.uint64((1 << width) - 1)
+
+
+def posts(fps: np.ndarray, keys: np.ndarray | None, length: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints under keys of ``length`` segments: which segment comes first, and the chain's values, each fingerprint's own
+    or as many bits away as the chain allows up to there. ``keys`` are those of one segment less; without them both first segments are posted."""
+    if keys is None:
+        fps, firsts = np.tile(fps, SEGMENTS), np.repeat(np.arange(SEGMENTS, dtype=np.uint64), len(fps))
+        start = np.select([firsts == i for i in range(SEGMENTS)], [_segment(fps, i) for i in range(SEGMENTS)])
+        keys, length = (firsts << np.uint64(60)) | start, 2
+    first, used = (keys >> np.uint64(60)).astype(int), np.zeros(len(fps), int)
+    slot = np.uint64(13 * (length - 1))
+    out_keys, out_fps = [], []
+    for i in range(SEGMENTS):
+        mine = np.flatnonzero(first == i)
+        if not len(mine):
+            continue
+        for n in range(length - 1):
+            held = (keys[mine] >> np.uint64(13 * n)) & np.uint64(8191)
+            used[mine] += np.bitwise_count(_segment(fps[mine], i + n) ^ held)
+        width = bounds()[(i + length - 1) % SEGMENTS][1]
+        for spent in np.unique(used[mine]):
+            own = mine[used[mine] == spent]
+            value = _segment(fps[own], i + length - 1)
+            for flip in masks(width, length * budget // SEGMENTS - int(spent)):
+                out_keys.append(keys[own] | ((value ^ np.uint64(flip)) << slot))
+                out_fps.append(fps[own])
+    return (np.concatenate(out_keys), np.concatenate(out_fps)) if out_keys else (keys[:0], fps[:0])
+
+
+def _posted(length: int, budget: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wide = lambda x: x.to_numpy(np.int64).view(np.uint64)
+        for pdf in batches:
+            for at in range(0, len(pdf), STEP):
+                part = pdf.iloc[at : at + STEP]
+                keys, fps = posts(wide(part["fp"]), wide(part["key"]) if "key" in part else None, length, budget)
+                if len(keys):
+                    yield pd.DataFrame({"key": keys.view(np.int64), "fp": fps.view(np.int64)})
+
+    return run
 
 
 def chained(x: np.ndarray, first: int, budget: int) -> np.ndarray:
@@ -106,53 +144,91 @@ def forest(fps: np.ndarray, budget: int) -> list[tuple[int, int]]:
     return links
 
 
-def _linked(budget: int):
+def _linked(budget: int, most: int | None):
+    """Links among rows that come sorted by key. Of a key with more than ``most`` fingerprints the rows themselves come out (open),
+    as soon as that is known; no more than that is held."""
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
-        key = None
+        key, spilling = None, False
+
+        def frame(pairs: np.ndarray, open_: bool) -> pd.DataFrame:
+            return pd.DataFrame(np.ascontiguousarray(pairs, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"]).assign(open=open_)
+
+        def rows(k: int, fps: np.ndarray) -> pd.DataFrame:
+            return frame(np.stack([np.full(len(fps), k, np.int64).view(np.uint64), fps], 1), True)
+
+        def whole(k: int, fps: np.ndarray) -> Iterator[pd.DataFrame]:
+            if most is not None and len(fps) > most:
+                yield rows(k, fps)
+            elif len(fps) > 1 and (found := forest(fps, budget)):
+                yield frame(found, False)
+
         for pdf in batches:
-            keys, fps = pdf["key"].to_numpy(), pdf["fp"].to_numpy(np.int64).view(np.uint64)
+            if not len(pdf):
+                continue
+            keys, fps = pdf["key"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
             cuts = np.flatnonzero(np.diff(keys)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-            links: list[tuple[int, int]] = []
-            if len(keys) and keys[0] != key:
-                links += forest(np.unique(np.concatenate(held)), budget) if sum(map(len, held)) > 1 else []
-                held, key = [], keys[0]
-            if len(keys):
+            if keys[0] != key:
+                if held and not spilling:
+                    yield from whole(key, np.concatenate(held))
+                held, key, spilling = [], keys[0], False
+            if spilling:
+                yield rows(key, fps[: ends[0]])
+            else:
                 held.append(fps[: ends[0]])
+                if most is not None and sum(map(len, held)) > most:
+                    yield rows(key, np.concatenate(held))
+                    held, spilling = [], True
             if len(starts) > 1:
-                links += forest(np.unique(np.concatenate(held)), budget) if sum(map(len, held)) > 1 else []
+                if held and not spilling:
+                    yield from whole(key, np.concatenate(held))
                 inner = slice(1, -1)
                 pairs = starts[inner][(ends - starts)[inner] == 2]
-                x, y = fps[pairs], fps[pairs + 1]
-                fine = x != y
-                for first in range(SEGMENTS):
-                    here = (keys[pairs] >> 40) == first
-                    fine[here] &= chained(x[here] ^ y[here], first, budget)
-                links += list(zip(x[fine].tolist(), y[fine].tolist()))
+                x, y, first = fps[pairs], fps[pairs + 1], keys[pairs] >> 60
+                fine = np.zeros(len(pairs), bool)
+                for i in range(SEGMENTS):
+                    here = first == i
+                    fine[here] = chained(x[here] ^ y[here], i, budget)
+                if fine.any():
+                    yield frame(np.stack([x[fine], y[fine]], 1), False)
                 for s, e in zip(starts[inner], ends[inner]):
                     if e - s > 2:
-                        links += forest(np.unique(fps[s:e]), budget)
-                held, key = [fps[starts[-1] :]], keys[-1]
-            if links:
-                yield pd.DataFrame(np.array(links, np.uint64).view(np.int64), columns=["a", "b"])
-        if sum(map(len, held)) > 1 and (links := forest(np.unique(np.concatenate(held)), budget)):
-            yield pd.DataFrame(np.array(links, np.uint64).view(np.int64), columns=["a", "b"])
+                        yield from whole(keys[s], fps[s:e])
+                held, key, spilling = [fps[starts[-1] :]], keys[-1], False
+        if held and not spilling:
+            yield from whole(key, np.concatenate(held))
 
     return search
 
 
-def links(fps: DataFrame, *, budget: int = 4) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that leave the same components as all pairs within ``budget`` bits."""
+def links(fps: DataFrame, *, budget: int = 4, most: int = 16_384) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that leave the same components as all pairs within ``budget`` bits.
+
+    A key that more than ``most`` fingerprints share is told apart by one more segment of the chain, and again; four
+    segments leave at most 8192 fingerprints to a key, so no task ever holds more than ``most``.
+    """
     if not 0 <= budget < SEGMENTS:
         raise ValueError(f"the posted keys are complete for budgets of 0 to {SEGMENTS - 1} bits")
-    keys = fps.select("fp").distinct().mapInPandas(_posted, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    return keys.mapInPandas(_linked(budget), "a long, b long").distinct()
+    rows, out = fps.select("fp").distinct(), None
+    for length in range(2, SEGMENTS):
+        last = length == SEGMENTS - 1
+        keys = rows.mapInPandas(_posted(length, budget), "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+        found = cut_lineage(keys.mapInPandas(_linked(budget, None if last else most), "a long, b long, open boolean"))
+        here = found.filter("not open").select("a", "b")
+        out = here if out is None else out.unionByName(here)
+        if last or found.filter("open").limit(1).count() == 0:
+            break
+        rows = found.filter("open").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, budget: int = 4) -> DataFrame:
     """``docs`` without its text, with ``fp`` and ``component_id``, the smallest id that a document reaches."""
-    rows = cut_lineage(fingerprints(docs, text_col=text_col, size=size).drop(text_col))
+    bounded_batches(docs.sparkSession)
+    clash = [c for c in docs.columns if c in ("fp", "component_id")]
+    rows = cut_lineage(fingerprints(docs.drop(*clash), text_col=text_col, size=size).drop(text_col))
     distinct = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = components(links(distinct, budget=budget))
     rooted = distinct.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -79,3 +79,11 @@ def test_odd_rows(odd, none):
 def test_main_path_is_native(spark, docs):
     plan = mixture.mix(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_query_equals_its_sql(spark, name):
+    from tests.oracle import check
+    from touchline.llm import queries
+
+    check(queries.op2_mixture, queries.MIXTURE_SQL, spark, f"/root/testdata/{name}")

@@ -7,7 +7,7 @@ place in the source's cumulative demand, and inverting the integrated schedule t
 Documents are finally sorted by position over ranges.
 
 The prefix sums are taken in two levels (hash buckets of a source, then documents of a bucket), so a source that holds
-a third of all rows is spread over ``buckets`` groups. Only one row per source meets in one task.
+a third of all rows is spread over thousands of groups. Only one row per source meets in one task.
 
 Defined results: a null text has size 0 and takes nothing; null is a source of its own and comes last; repeated rows
 count each for itself; an empty table gives an empty result; other columns are carried along unchanged.
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, word_count
 
+#: Bits of the MD5 hash of a document's id and text that order a source's documents; any engine can compute them.
+HASH_BITS = 48
 WORK = ["__key", "__h", "__bucket"]
 
 
@@ -57,15 +59,15 @@ def invert(u: Column, start: Column, end: Column) -> Column:
     return F.least(F.lit(1.0), F.when(rise == 0, u).otherwise(F.try_divide(root - start, rise)))
 
 
-def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: Callable[[DataFrame], DataFrame] = cycling_weights, repeats: int = 3, buckets: int = 4096, keep_text: bool = True) -> DataFrame:
+def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: Callable[[DataFrame], DataFrame] = cycling_weights, repeats: int = 3, bucket_bits: int = 12, keep_text: bool = True) -> DataFrame:
     """``docs`` with size, source_size, target, taken and position (that of the first copy; null if nothing is taken).
 
     ``taken`` counts repeats: whole copies, and for one document of each source a last copy that is cut short.
     """
     clash = [c for c in docs.columns if c in {"size", "source_size", "target", "taken", "position", "ordinal_words", *WORK}]
     sized = docs.drop(*clash).withColumn("size", word_count(F.col(text_col)))
-    sized = sized.withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))).withColumn("__h", F.xxhash64(id_col, text_col, F.lit(17)))
-    sized = sized.withColumn("__bucket", F.pmod("__h", F.lit(buckets)).cast("int"))
+    sized = sized.withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))).withColumn("__h", F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), text_col)), 1, HASH_BITS // 4), 16, 10).cast("long"))
+    sized = sized.withColumn("__bucket", F.shiftrightunsigned("__h", HASH_BITS - bucket_bits).cast("int"))
     sized = sized if keep_text else sized.drop(text_col)
     by_bucket = sized.groupBy("__key", "__bucket", F.col(source_col).alias("source")).agg(F.sum("size").alias("bucket_size"))
     sources = by_bucket.groupBy("__key", "source").agg(F.sum("bucket_size").alias("source_size"))

@@ -61,3 +61,10 @@ def test_odd_rows(odd, none):
 def test_main_path_is_native(spark, docs):
     plan = secrets.redact(docs.withColumn("x", F.lit(1)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_query_equals_its_sql(spark, name):
+    from tests.oracle import check
+
+    check(queries.op6_secrets, queries.SECRETS_SQL, spark, f"/root/testdata/{name}")

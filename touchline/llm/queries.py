@@ -17,7 +17,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixture.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).orderBy("position", "doc_id")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+MIXTURE_SQL = """
+WITH d AS (SELECT doc_id, coalesce('s' || source, 'n') AS key, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(concat_ws(':', doc_id, text)), 1, 12) AS BIGINT) AS h FROM documents),
+s AS (SELECT key, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS r FROM d GROUP BY key, source),
+w AS (SELECT key, source_size, CAST(r + 1 AS DOUBLE) AS w, (r + 1) * (1e0 - (r - 1) * 0.5e0) AS w_start, (r + 1) * (1e0 + (r - 1) * 0.5e0) AS w_end, 3e0 * source_size AS cap FROM s),
+l AS (SELECT *, cap / w AS ratio, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS even FROM w),
+f AS (SELECT *, first_value(CASE WHEN even <= ratio THEN even END IGNORE NULLS) OVER (ORDER BY ratio, key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS level FROM l),
+t AS (SELECT *, least(cap, coalesce(level, CAST('inf' AS DOUBLE)) * w) AS target FROM f),
+q AS (SELECT *, CAST(round(target) AS BIGINT) AS quota FROM t),
+o AS (SELECT d.doc_id, d.size, q.*, CAST(sum(d.size) OVER (PARTITION BY d.key ORDER BY h, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS before FROM d JOIN q USING (key)),
+x AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE quota // source_size END AS whole FROM o),
+k AS (SELECT *, CAST(whole * size + greatest(0, least(size, quota - whole * source_size - before)) AS BIGINT) AS taken, before / CAST(quota AS DOUBLE) AS u, w_end - w_start AS rise FROM x)
+SELECT doc_id, size, source_size, target, taken, round(CASE WHEN taken > 0 THEN least(1e0, CASE WHEN rise = 0 THEN u ELSE (sqrt(w_start * w_start + rise * (w_start + w_end) * u) - w_start) / rise END) END, 9) AS position FROM k
+"""
+
+_KINDS = [("assign", """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1), ("access", "AKIA[A-Z0-9]{16,}", 0), ("hex", "[0-9a-f]{24,}", 0), ("token", "[A-Za-z0-9+/_=-]{20,}", 0)]
+_FOUND = " UNION ALL ".join(
+    f"SELECT rn, {k} AS kind, '{name}' AS name, unnest(regexp_extract_all(text, '{p}', 0)) AS m, unnest(regexp_extract_all(text, '{p}', {g})) AS v, unnest(list_slice(string_split_regex(text, '{p}'), 1, len(regexp_extract_all(text, '{p}', 0)))) AS gap, generate_subscripts(regexp_extract_all(text, '{p}', 0), 1) AS i FROM r WHERE regexp_matches(text, '{p}')"
+    for k, (name, p, g) in enumerate(_KINDS)
+)
+SECRETS_SQL = f"""
+WITH r AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text, coalesce('o' || source, 'n') AS owner FROM documents),
+f AS ({_FOUND}),
+p AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY rn, kind ORDER BY i) AS BIGINT) AS stop FROM f),
+a AS (SELECT rn, kind, name, v, stop - length(m) AS start, stop FROM p WHERE kind <> 0 OR length(v) >= 6),
+b AS (SELECT * FROM a WHERE kind < 3),
+c AS (SELECT * FROM b UNION ALL SELECT * FROM a WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.rn = a.rn AND b.start < a.stop AND a.start < b.stop)),
+o AS (SELECT v, count(DISTINCT owner) <= 2 AS live FROM c JOIN r USING (rn) GROUP BY v),
+e AS (SELECT c.*, live FROM c JOIN o USING (v)),
+g AS (SELECT rn, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (kind < 3 OR live) AS every,
+    count(DISTINCT (start, stop)) FILTER (live) AS n_live, count(DISTINCT (start, stop)) FILTER (NOT live AND kind < 3) AS n_copied FROM e GROUP BY rn)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM r LEFT JOIN g USING (rn)
+"""
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM p),
@@ -94,4 +130,4 @@ FROM scored QUALIFY rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": WARC_SQL, "op4_bm25": BM25_SQL}
+    return {"op2_mixture": MIXTURE_SQL, "op3_warc": WARC_SQL, "op4_bm25": BM25_SQL, "op6_secrets": SECRETS_SQL}

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 Piece = tuple[int, int, int]  # document, start, length
 
@@ -158,6 +160,7 @@ def _packed(encoder: Callable[[], Callable[[str], list[int]]], size: int, end_id
 
 def pack_documents(docs: DataFrame, *, size: int = 2048, end_id: int = 1, group_chars: int = 4_000_000, encoder: Callable[[], Callable[[str], list[int]]] = public_encoder) -> DataFrame:
     """One row per piece of a document (doc_id, text); ``sequence_id`` holds the group in its high half."""
+    bounded_batches(docs.sparkSession)
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     groups = max(1, math.ceil(chars / group_chars))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(groups)).alias("group"))

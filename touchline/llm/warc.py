@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import bounded_batches, scratch
 
 MAGIC = b"\x1f\x8b\x08"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -170,5 +170,6 @@ def read(spark: SparkSession, archives: DataFrame, folder: str, *, split_bytes:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    bounded_batches(spark)
     folder = scratch(spark, "warc")
     return read(spark, write(pages, folder), folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

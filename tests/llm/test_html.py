@@ -31,6 +31,15 @@ def test_a_host_s_template_goes_where_nothing_is_marked(spark):
     assert got[99] == "The Daily Page Home About Story 99 Text number 99 of its own. All rights reserved"
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = lambda i: f"<html><body><div>The Daily Page</div><div><h2>Story {i}</h2><p>Text number {i} of its own.</p></div></body></html>"
+    rows = [(i, f"https://copied.example.org/{i}", page(max(i, 6))) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in H.extract(df).collect()} == {i: f"Story {max(i, 6)} Text number {max(i, 6)} of its own." for i in range(12)}
+    pair = df.filter("page_id < 6").unionByName(df.filter("page_id = 11"))
+    assert {r["page_id"]: r["text"] for r in H.extract(pair).collect()}[0] == "The Daily Page Story 6 Text number 6 of its own."
+
+
 def test_classes_that_break_their_order_are_invalid():
     assert H.valid_classes([1, 2, 1, 2, 9], {1: 5, 2: 5, 9: 7}) == {5, 7} and H.valid_classes([1, 1, 2, 2], {1: 5, 2: 5}) == set()
 

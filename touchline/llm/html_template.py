@@ -9,8 +9,9 @@ through an article (or, lacking one, the main element or the body) and through n
 notice, advert, form, comment or script. Where a page has no article and no main element, runs of text that belong to
 a valid class are furniture and go too.
 
-Vectors are compared by a commutative hash, so that a host with any number of pages takes one small row per token, summed
-before the shuffle; a host's template is bounded by twice the tokens of a page, because each token of it stands on at
+Copies of a page count once: support, pages and vectors are taken over a host's distinct page contents, and a token needs
+several of them. Vectors are compared by a commutative hash, a sum of marks, so that a host with any number of pages takes
+one small row per token; a host's template is bounded by twice the tokens of a page, because each token of it stands on at
 least half of the pages.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; rows that repeat are
@@ -53,7 +54,7 @@ MARKED = {
 }
 HEADERS = {"header", "site-header", "page-header", "global-header", "main-header", "top-header"}
 PARTS = re.compile(r"[a-z0-9]+")
-TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 4
+TEMPLATE_SHARE, TEMPLATE_PAGES, TEMPLATE_SUPPORT = 0.5, 4, 3
 
 
 def furniture(name: str, attrs: dict[str, str]) -> bool:
@@ -160,23 +161,27 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, *, share: float = TEMPLATE_SHARE, least_pages: int = TEMPLATE_PAGES) -> DataFrame:
-    """host, template: the tokens of its large and frequent equivalence classes with their class."""
+def templates(pages: DataFrame, *, share: float = TEMPLATE_SHARE, least_pages: int = TEMPLATE_PAGES, least_support: int = TEMPLATE_SUPPORT) -> DataFrame:
+    """host, template: the tokens of its large and frequent equivalence classes with their class. Copies of a page count once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for name, page in zip(pdf["host"], pdf["html"]):
-                h = xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass"), 2)
-                rows += [(name, t, n, xxhash.xxh64_intdigest(f"{h}:{n}", 3) - (1 << 63)) for t, n in Counter(tokens(page)).items()]
+                h = xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass"), 2) - (1 << 63)
+                rows += [(name, t, n, h) for t, n in Counter(tokens(page)).items()]
             if rows:
-                yield pd.DataFrame(rows, columns=["host", "token", "n", "mark"])
-
-    counted = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, token long, n long, mark long")
-    by_token = counted.groupBy("host", "token").agg(F.count("*").alias("support"), F.sum("n").alias("total"), F.bit_xor("mark").alias("vector"))
-    hosts = pages.groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
-    frequent = by_token.filter("support > 1").join(hosts, "host").filter(F.col("support") >= share * F.col("pages"))
-    name = F.xxhash64("vector", "support", "total")
+                yield pd.DataFrame(rows, columns=["host", "token", "n", "page"])
+
+    counted = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, token long, n long, page long")
+    distinct = counted.groupBy("host", "token", "page").agg(F.max("n").alias("n")).withColumn("mark", F.xxhash64("page", "n"))
+    # the vector is a sum in two halves, which can't overflow
+    halves = F.sum(F.col("mark").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftright("mark", 32)).alias("high")
+    by_token = distinct.groupBy("host", "token").agg(F.count("*").alias("support"), F.sum("n").alias("total"), *halves)
+    contents = pages.select(host(F.col("url")).alias("host"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("page")).distinct()
+    hosts = contents.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
+    frequent = by_token.filter(F.col("support") >= least_support).join(hosts, "host").filter(F.col("support") >= share * F.col("pages"))
+    name = F.xxhash64("low", "high", "support", "total")
     return frequent.groupBy("host").agg(F.collect_list(F.struct("token", name.alias("class"))).alias("template"))
 
 

@@ -23,6 +23,28 @@ def test_main_text(html, text):
     assert H.main_text(html, {}) == text
 
 
+OWN = "<h1>T</h1><p>Own</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body class='no-sidebar'>{OWN}", f"<body class='has-sidebar menu-open'><article>{OWN}</article>", f"<article class='share-post'>{OWN}</article>", f"<main class='search'>{OWN}</main>", f"<article><div class='related-work'>{OWN}</div></article>", f"<form><nav>x</nav><article>{OWN}</article></form>",
+        f"<div class='sidebar'><main>{OWN}</main></div>", f"<form><nav>x</nav>{OWN}</form>", f"<article>{OWN}<section class='comments'><article>a longer text than the article's</article></section></article>", f"<article>{OWN}</article><div class='sidebar'><article>teaser</article></div>",
+        f"<article>{OWN}<div class='cookie-banner'>x</div><div hidden>x</div></article>",
+    ],
+)
+def test_words_of_a_class_drop_no_main_text(html):
+    assert H.main_text(html, {}) == "T Own"
+
+
+def test_the_template_confirms_parts_of_class_names(spark):
+    page = lambda i: f"<article><p>Own {i}</p><div class='related-work'><p>Work {i}</p></div><div class='x-share-bar'><p>Share this</p></div></article>"
+    df = spark.createDataFrame([(i, f"https://parts.example.org/{i}", page(i)) for i in range(6)] + [(9, "https://single.example.org/", page(9))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    assert got == {i: f"Own {i} Work {i}" for i in range(6)} | {9: "Own 9 Work 9 Share this"}
+
+
 def test_a_host_s_template_goes_where_nothing_is_marked(spark):
     page = lambda i: f"<html><body><div>The Daily Page</div><div><a>Home</a> <a>About</a></div><div><h2>Story {i}</h2><p>Text number {i} of its own.</p></div><div>All rights reserved</div></body></html>"
     df = spark.createDataFrame([(i, f"https://Plain.example.org/{i}", page(i)) for i in range(8)] + [(99, "https://alone.example.org/", page(99))], "page_id long, url string, html string")

@@ -25,6 +25,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
@@ -53,74 +54,98 @@ MARKED = {
     "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "reply", "replies", "respond", "disqus", "discussion", "related", "recommended", "share", "sharing", "social", "widget", "toolbar", "pagination", "pager", "copyright", "complementary", "contentinfo", "search", "outbrain", "taboola",
 }
 HEADERS = {"header", "site-header", "page-header", "global-header", "main-header", "top-header"}
+# Compounds of these words that are furniture as whole names.
+COMPOUNDS = {
+    "site-footer", "page-footer", "main-nav", "main-menu", "site-nav", "site-navigation", "nav-menu", "cookie-banner", "cookie-notice", "cookie-consent", "comment-list", "comments-area", "comment-form", "related-posts", "related-articles", "share-buttons", "social-share", "social-links", "newsletter-signup",
+    "ad-container", "ad-slot", "ad-banner", "search-form",
+}
+#: Elements that hold the page or its main text and are never furniture for their name or words.
+KEPT = {"html", "body", "main", "article"}
 PARTS = re.compile(r"[a-z0-9]+")
 TEMPLATE_SHARE, TEMPLATE_PAGES, TEMPLATE_SUPPORT = 0.5, 4, 3
+#: An element is no furniture, furniture if the host's template confirms it, furniture, or hidden.
+PLAIN, PERHAPS, FURNISHED, HIDDEN = range(4)
 
 
-def furniture(name: str, attrs: dict[str, str]) -> bool:
-    if name in FURNITURE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
-        return True
-    marks = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower()
-    return any(x in HEADERS for x in marks.split()) or any(x in MARKED for x in PARTS.findall(marks))
+def furniture(name: str, attrs: dict[str, str]) -> int:
+    if name in {"html", "body"}:
+        return PLAIN
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
+        return HIDDEN
+    if name in KEPT or attrs.get("role") == "main":
+        return PLAIN
+    if name in FURNITURE:
+        return FURNISHED
+    marks = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower().split()
+    if any(x in HEADERS or x in MARKED or x in COMPOUNDS for x in marks):
+        return FURNISHED
+    return PERHAPS if any(x in MARKED for m in marks for x in PARTS.findall(m)) else PLAIN
 
 
 def attributes(raw: str) -> dict[str, str]:
     return {(k or bare).lower(): entities.unescape(v.strip("\"'")) for k, v, bare in ATTR.findall(raw)} if raw.strip(" /") else {}
 
 
-def events(page: str | None) -> Iterator[tuple[str, str, int, bool, bool]]:
-    """(kind, token or text, depth of article, whether inside main, whether inside furniture) in page order.
+class Element(NamedTuple):
+    parent: int
+    kind: str
+    furniture: int
+    token: str
+
+
+def parse(page: str | None) -> tuple[list[tuple[str, str, int]], list[Element]]:
+    """(kind, token or text, innermost open element) in page order, and the elements, each after its parent.
 
     Kinds: tag (the token), text (decoded, as it stands), cut (a block boundary).
     """
-    stack: list[tuple[str, str, bool]] = []  # name, mark, furniture
-    path, at = "", 0
-    articles = mains = bad = 0
+    elements = [Element(0, "", PLAIN, "")]
+    out: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str, int]] = []  # name, mark, element
+    path, at, top = "", 0, 0
     for m in MARKUP.finditer(page := page or ""):
         if m.start() > at:
-            yield "text", entities.unescape(page[at : m.start()]), articles, mains > 0, bad > 0
+            out.append(("text", entities.unescape(page[at : m.start()]), top))
         at, name = m.end(), (m["name"] or "").lower()
         if not name:
             if m["raw"]:
-                yield "cut", "", articles, mains > 0, bad > 0
+                out.append(("cut", "", top))
             continue
         if m["close"]:
             if any(x[0] == name for x in stack):
-                while stack:
-                    top, mark, was = stack.pop()
-                    articles -= top == "article"
-                    mains -= mark == "main"
-                    bad -= was
-                    if top == name:
-                        break
+                while stack and stack.pop()[0] != name:
+                    pass
                 path = ">".join(x[1] for x in stack if x[0] in CONTAINERS)
         else:
             attrs = attributes(m["attrs"])
             while stack and stack[-1][0] in SIBLINGS.get(name, ()):
-                bad -= stack.pop()[2]
+                stack.pop()
             mark = "main" if name == "main" or attrs.get("role") == "main" else name
             mark = mark if mark == "main" else ".".join([name, *attrs.get("class", "").split()])
-            yield "tag", f"{path}>{mark}", articles, mains > 0, bad > 0
+            own, parent = f"{path}>{mark}", stack[-1][2] if stack else 0
+            out.append(("tag", own, parent))
             if name not in VOID:
-                was = furniture(name, attrs)
-                stack.append((name, mark, was))
-                articles += name == "article"
-                mains += mark == "main"
-                bad += was
+                elements.append(Element(parent, name if name == "article" else "main" if mark == "main" else name, furniture(name, attrs), own))
+                stack.append((name, mark, len(elements) - 1))
                 if name in CONTAINERS:
                     path = f"{path}>{mark}" if path else mark
+        top = stack[-1][2] if stack else 0
         if name not in INLINE:
-            yield "cut", "", articles, mains > 0, bad > 0
+            out.append(("cut", "", top))
     if at < len(page):
-        yield "text", entities.unescape(page[at:]), articles, mains > 0, bad > 0
+        out.append(("text", entities.unescape(page[at:]), top))
+    return out, elements
 
 
 def token(kind: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{text}".encode("utf-8", "surrogatepass"), 1) - (1 << 63)
 
 
+def squeezed(text: str) -> str:
+    return " ".join(text.split())
+
+
 def tokens(page: str | None) -> list[int]:
-    return [token(kind, " ".join(text.split())) for kind, text, *_ in events(page) if kind != "cut" and text.strip()]
+    return [token(kind, squeezed(text)) for kind, text, _ in parse(page)[0] if kind != "cut" and text.strip()]
 
 
 def valid_classes(found: list[int], template: dict[int, int]) -> set[int]:
@@ -137,24 +162,74 @@ def valid_classes(found: list[int], template: dict[int, int]) -> set[int]:
     return fine
 
 
+def inside(elements: list[Element], marked: list[bool]) -> list[bool]:
+    """Whether each element or one that encloses it is marked."""
+    found = list(marked)
+    for i in range(1, len(elements)):
+        found[i] = found[i] or found[elements[i].parent]
+    return found
+
+
+def held(elements: list[Element], own: list[int]) -> list[int]:
+    """Sums over each element with all that it encloses."""
+    total = list(own)
+    for i in range(len(elements) - 1, 0, -1):
+        total[elements[i].parent] += total[i]
+    return total
+
+
+def furnished_elements(seen: list[tuple[str, str, int]], elements: list[Element], known: set[int]) -> list[bool]:
+    """Which elements are furniture. ``known`` are the page's tokens of the host's valid classes: they confirm an element that
+    is only perhaps furniture if its tag and all runs of text in it are among them. An element that holds the page's
+    only articles, its only main element or, lacking both, most of its text as a form is no furniture."""
+    length, runs, common = ([0] * len(elements) for _ in range(3))
+    perhaps = known and any(e.furniture == PERHAPS for e in elements)
+    for kind, text, at in seen:
+        if kind == "text" and (size := len(text.strip())):
+            length[at] += size
+            if perhaps:
+                runs[at] += 1
+                common[at] += token("text", squeezed(text)) in known
+    length = held(elements, length)
+    if perhaps:
+        runs, common = held(elements, runs), held(elements, common)
+    hidden = inside(elements, [e.furniture == HIDDEN for e in elements])
+    bad = [e.furniture >= FURNISHED or (e.furniture == PERHAPS and 0 < runs[i] == common[i] and token("tag", e.token) in known) for i, e in enumerate(elements)]
+    within = inside(elements, bad)
+    for kind in ("article", "main"):
+        whole = [i for i, e in enumerate(elements) if e.kind == kind and length[i] and not hidden[i]]
+        if whole:
+            if all(within[i] for i in whole):
+                at = max(whole, key=lambda i: (length[i], -i))
+                while at:
+                    bad[at], at = False, elements[at].parent
+            return bad
+    return [x and not (e.kind == "form" and 2 * length[i] > length[0] and not hidden[i]) for i, (x, e) in enumerate(zip(bad, elements))]
+
+
 def main_text(page: str | None, template: dict[int, int]) -> str:
     """The slots of the main text. ``template`` maps a host's template tokens to their classes."""
-    seen = list(events(page))
-    articles = any(a and not bad for kind, text, a, _, bad in seen if kind == "text" and text.strip())
-    mains = not articles and any(m and not bad for kind, text, _, m, bad in seen if kind == "text" and text.strip())
-    furnished: set[int] = set()
-    if not articles and not mains and template:
-        own = [token(kind, " ".join(text.split())) for kind, text, *_ in seen if kind != "cut" and text.strip()]
+    seen, elements = parse(page)
+
+    def valid() -> set[int]:
+        own = [token(kind, squeezed(text)) for kind, text, _ in seen if kind != "cut" and text.strip()]
         fine = valid_classes(own, template)
-        furnished = {t for t in own if template.get(t) in fine}
+        return {t for t in own if template.get(t) in fine}
+
+    known = valid() if template and any(e.furniture == PERHAPS for e in elements) else set()
+    bad = inside(elements, furnished_elements(seen, elements, known))
+    article, main = (inside(elements, [e.kind == kind for e in elements]) for kind in ("article", "main"))
+    full = [at for kind, text, at in seen if kind == "text" and not bad[at] and text.strip()]
+    chosen = next((x for x in (article, main) if any(x[at] for at in full)), None)
+    known = known or valid() if chosen is None and template else known
     out = []
-    for kind, text, a, m, bad in seen:
+    for kind, text, at in seen:
         if kind == "cut":
             out.append(" ")
-        elif kind == "text" and not bad and (a if articles else m if mains else True):
-            if not furnished or token("text", " ".join(text.split())) not in furnished:
+        elif kind == "text" and not bad[at] and (chosen is None or chosen[at]):
+            if chosen is not None or not known or token("text", squeezed(text)) not in known:
                 out.append(text)
-    return " ".join("".join(out).split())
+    return squeezed("".join(out))
 
 
 def host(url: Column) -> Column:

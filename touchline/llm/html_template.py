@@ -2,12 +2,14 @@
 
 Tokens of a page are its tags (with their place among the page's containers) and its runs of text. Over the pages of a
 host each token has an occurrence vector: how often it stands on each page. Tokens with equal vectors form an
-equivalence class; classes that are large and frequent enough are the host's template. On a page a class is valid if
-its tokens come in rounds of one order; valid classes nest, the outer ones by their tags' elements. What stands between
-template tokens are the slots. A slot belongs to the main text if its chain of enclosing template elements leads
-through an article (or, lacking one, the main element or the body) and through no menu, header, footer, sidebar,
-notice, advert, form, comment or script. Where a page has no article and no main element, runs of text that belong to
-a valid class are furniture and go too.
+equivalence class; those that are frequent enough are the host's template. On a page a class is valid if its tokens come
+in rounds of one order. Nesting is that of the page's own tags, not of the classes.
+
+Tag rules decide first: a run of text belongs to the main text if it stands in an article (or, lacking one, the main
+element or the body) and in no menu, header, footer, sidebar, notice, advert, form, comment or script, told by element
+or by a whole name of class, id or role. The template decides in two places: an element with such a word as a part of a
+name is furniture only where its tag and all its runs of text belong to valid classes; and where a page has no article
+and no main element, runs of text that belong to a valid class are furniture and go too.
 
 Copies of a page count once: support, pages and vectors are taken over a host's distinct page contents, and a token needs
 several of them. Vectors are compared by a commutative hash, a sum of marks, so that a host with any number of pages takes

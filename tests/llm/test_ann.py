@@ -37,6 +37,30 @@ def test_recall_and_exact_scores(spark, name):
         assert found == sorted(found, key=lambda x: (-x[1], x[0]))
 
 
+def test_small_tables_are_pruned_too():
+    assert ann.candidate_count(500, 5) == 150 and ann.candidate_count(8_192, 5) < 2_500 and ann.candidate_count(4, 5) == 6
+
+
+def test_recall_with_a_hot_cluster(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(200, 64))
+    x = centres[rng.integers(0, 200, 12_000)] + 0.6 * rng.normal(size=(12_000, 64))
+    hot = rng.random(len(x)) < 1 / 3
+    x[hot] = centres[0] + 0.25 * rng.normal(size=(hot.sum(), 64))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}), f"{tmp_path}/x.parquet")
+    df = spark.read.parquet(f"{tmp_path}/x.parquet")
+    got: dict = {}
+    for r in ann.search(df, df.filter("vec_id % 60 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    expected = plain(list(enumerate(x)), list(got))
+    recall = {w: np.mean([len(got[q] & {i for i, _ in expected[q]}) / 5 for q in got if hot[q] == w]) for w in (True, False)}
+    print("recall", recall)
+    assert min(recall.values()) >= 0.97
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.1]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [2.0, 0.2]), (8, [2.0, 0.2]), (9, [-1.0, 0.0]), (10, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' as shard", "'y' as tag", "1 as score")

@@ -4,8 +4,8 @@ Pivots are vectors drawn from the table (``pivots`` of them, the smallest by a h
 fitted on). A vector is stood for by its ``prefix`` nearest pivots in order. In each shard the vectors are posted in
 pivot inverted files with the place at which the pivot stands; a query walks the files of its own pivots and sums the
 footrule distance (absolute differences of places, an absent pivot standing at place ``prefix``). The candidates with
-the smallest footrule, at least ``share`` of the shard and at least ``least`` over all shards, are ranked again by their
-exact cosine on the original vectors.
+the smallest footrule, ``share`` of the shard whatever its size but more than ``k``, are ranked again by their exact
+cosine on the original vectors.
 
 Every vector is indexed; the best of all shards are merged by (score, id). Defined results: vectors that are null,
 empty, zero or hold null or non-finite components, and rows with a null id, take no part; fewer candidates than
@@ -14,6 +14,7 @@ empty, zero or hold null or non-finite components, and rows with a null id, take
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,14 @@ from pyspark.sql import functions as F
 from .blocks import best, search_shards, shards_for
 
 
+#: The part of a shard that is ranked exactly, set from recall measured with pruning on.
+SHARE = 0.3
+
+
+def candidate_count(rows: int, k: int, share: float = SHARE) -> int:
+    return max(k + 1, math.ceil(share * rows))
+
+
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     fine = F.col(id_col).isNotNull() & F.coalesce(F.size(v) > 0, F.lit(False)) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -73,7 +82,7 @@ class Files:
         return [(int(self.ids[rows[i]]), float(scores[i])) for i in order]
 
 
-def search(rows: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, pivots: int = 128, prefix: int = 64, share: float = 0.1, least: int = 2_000, per_shard: int = 8_192) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, pivots: int = 256, prefix: int = 64, share: float = SHARE, per_shard: int = 8_192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest of ``rows`` other than itself."""
     base, asked = usable(rows, id_col, vector_col), usable(queries, id_col, vector_col)
     drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("embedding").toPandas()["embedding"].tolist()
@@ -82,7 +91,6 @@ def search(rows: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vecto
         unit = np.array([v for v in drawn if len(v) == n], float)
         by_size[n] = unit / np.sqrt((unit * unit).sum(1))[:, None]
     shards = shards_for(base.count(), per_shard)
-    floor = -(-least // shards)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
@@ -102,8 +110,7 @@ def search(rows: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vecto
                 if own := files.get(len(v)):
                     query = np.array(v, float)
                     near, _ = places((query / np.sqrt((query * query).sum()))[None, :], own.pivots, own.prefix)
-                    count = max(floor, k + 1, int(share * len(own.ids)))
-                    out += [(vec_id, x, s) for x, s in own.nearest(query, vec_id, own.candidates(near[0], count), k)]
+                    out += [(vec_id, x, s) for x, s in own.nearest(query, vec_id, own.candidates(near[0], candidate_count(len(own.ids), k, share)), k)]
             if out:
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 

@@ -46,6 +46,16 @@ def test_owners_tell_examples_from_credentials(spark):
     assert got[1]["spans"] == f"token:4:{4 + len(own)}" and got[1]["n_live"] == 1 and all(got[10 + i]["spans"] == "" for i in range(20))
 
 
+def test_repositories_tell_examples_inside_one_source(spark):
+    own, shared = "Zx9" + "kQ2w" * 6, "Ab1" + "Cd2e" * 6
+    rows = [(i, f"use {own} here", "a") for i in range(10)] + [(100 + i, f"sample {shared} password=hunter22", "a") for i in range(11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secrets.digest_columns(secrets.scan(df)).collect()}
+    assert all(got[i]["spans"] == f"token:4:{4 + len(own)}" and got[i]["n_live"] == 1 for i in range(10))
+    assert all(got[100 + i]["spans"].startswith("assign:") and "token" not in got[100 + i]["spans"] and (got[100 + i]["n_live"], got[100 + i]["n_copied"]) == (0, 1) for i in range(11))
+    assert {r["text"] for r in secrets.redact(df).collect()} == {"use [SECRET] here", f"sample {shared} [SECRET]"}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a password=hunter22 b", "s"), (2, "clean", "s"), (3, None, "s"), (4, "token=" + "f" * 30 + " end", "s"), (4, "token=" + "f" * 30 + " end", "s")], "doc_id long, text string, source string")
     got = sorted((r["doc_id"], r["text"] or "") for r in secrets.redact(df).collect())

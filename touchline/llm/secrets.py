@@ -2,8 +2,8 @@
 
 Three kinds of base spans (``assign``, ``access``, ``hex``) are found by pattern and always stay. Strings of mixed
 letters and digits are candidates besides. The hash of every candidate is counted over the corpus by distinct owners
-(the source) and distinct repositories (the document): one that several owners carry is a widely copied example, one
-that few owners carry looks like a live credential. Live-looking mixed strings become spans of kind ``token``.
+(the source) and distinct repositories (the document): one that several owners or many repositories carry is a widely
+copied example, one that few of both carry looks like a live credential. Live-looking mixed strings become spans of kind ``token``.
 
 Positions are code points; they follow from the lengths of the pieces between matches. Defined results: a null text is
 empty; a null owner is one owner; rows that repeat give the same spans each; an empty table gives an empty result.
@@ -66,7 +66,7 @@ def row_key(id_col: str, text_col: str, owner_col: str) -> Column:
     return F.struct(F.xxhash64(id_col, text_col, owner_col, F.isnull(id_col), F.isnull(owner_col)).alias("a"), F.hash(text_col, id_col).alias("b"))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", few_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", few_owners: int = 2, few_repositories: int = 10) -> DataFrame:
     """One row per document: id, key, base spans, all spans, and how many are live-looking or widely copied."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col, owner_col).alias("key"), F.coalesce(F.concat(F.lit("o"), F.col(owner_col)), F.lit("n")).alias("owner"), F.col(text_col).alias("__text"), base_spans(text).alias("base"))
@@ -75,7 +75,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     found = cut_lineage(found.withColumn("base", digest("base")).withColumn("mixed", digest("mixed")))
     each = found.filter("size(base) + size(mixed) > 0").select("key", "doc_id", "owner", F.explode(F.concat("base", "mixed")).alias("s")).distinct()
     owned = each.groupBy(F.col("s.value").alias("value"), "owner", "doc_id").agg(F.lit(1).alias("x")).groupBy("value", "owner").agg(F.count("*").alias("repositories")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = each.join(owned.withColumn("live", F.col("owners") <= few_owners), F.col("s.value") == F.col("value"))
+    judged = each.join(owned.withColumn("live", (F.col("owners") <= few_owners) & (F.col("repositories") <= few_repositories)), F.col("s.value") == F.col("value"))
     token = KINDS.index("token")
     per_row = judged.groupBy("key").agg(
         F.collect_set(F.when(F.col("live") & (F.col("s.kind") == token), F.col("s"))).alias("added"),

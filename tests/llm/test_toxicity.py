@@ -31,6 +31,12 @@ def test_held_out_accuracy(spark):
     assert caught.mean() >= 0.85 and clean.mean() <= 0.01
 
 
+def test_rare_toxic_words_enter(spark):
+    rows = [("common insult here", 1)] * 1000 + [("fine words here", 0)] * 6000 + [("vrakling here", 1)] * 10 + [("seldom here", 1)] * 4
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {toxicity.fold("insult"), toxicity.fold("vrakling")} <= set(lexicon) and "seidom" not in lexicon and "here" not in lexicon
+
+
 def test_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (6, 0), (7, None), (None, 1), (9, 1), (3, 0), (5, 1)], "doc_id long, toxic int")
     got = toxicity.classify(odd, labels).collect()

@@ -79,7 +79,7 @@ def _word_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"word": list(found[toxic]), "toxic": toxic, "n": list(found[toxic].values()), "mass": [mass[toxic][w] for w in found[toxic]]})
 
 
-def learn_lexicon(labelled: DataFrame, *, lexicon: int = 2_000, least_docs: int = 5, least_share: float = 0.02, least_weight: float = 1.5) -> dict[str, float]:
+def learn_lexicon(labelled: DataFrame, *, lexicon: int = 2_000, least_docs: int = 5, least_weight: float = 1.5) -> dict[str, float]:
     """``labelled`` has text and toxic (0 or 1). An entry's weight is the log ratio of its damped occurrences per toxic and per
     clean document, less two standard errors; it enters with enough toxic documents and weight."""
     side = lambda c, y: F.sum(F.when(F.col("toxic") == y, F.col(c)).otherwise(0))
@@ -89,7 +89,7 @@ def learn_lexicon(labelled: DataFrame, *, lexicon: int = 2_000, least_docs: int
     bad, good = (int(whole["bad"]), int(whole["good"])) if whole else (0, 0)
     ratio = F.log((F.col("bad_mass") + 0.5) / (bad + 1.0)) - F.log((F.col("good_mass") + 0.5) / (good + 1.0))
     weight = ratio - 2 * F.sqrt(1 / F.col("bad") + 1 / (F.col("good") + 0.5))
-    kept = counts.filter(F.col("word") != "").filter(F.col("bad") >= max(least_docs, least_share * bad)).select("word", F.round(weight, 9).alias("w")).filter(F.col("w") >= least_weight)
+    kept = counts.filter(F.col("word") != "").filter(F.col("bad") >= least_docs).select("word", F.round(weight, 9).alias("w")).filter(F.col("w") >= least_weight)
     return {r["word"]: r["w"] for r in kept.orderBy(F.desc("w"), "word").limit(lexicon).collect()}
 
 

@@ -18,11 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where that is unset a local session (tests) gets a
+    temporary one; on a cluster no local folder can stand in for it, so there the setting must be given."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="touchline-")
-        spark.sparkContext.setCheckpointDir(found)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found
 
 
@@ -55,9 +60,16 @@ def id_crc(col: str) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
-def bounded_sample(df: DataFrame, rows: int, *, by: str) -> DataFrame:
-    """About ``rows`` rows, chosen by the hash of ``by`` alone, so that reruns agree; all rows if there are no more."""
+def sample_edge(rows: int, total: int) -> int:
+    """A signed 64-bit hash is at most this for about ``rows`` of ``total`` rows, however many there are."""
+    return (rows << 64) // total - (1 << 63) - 1
+
+
+def bounded_sample(df: DataFrame, rows: int, *, by: list[str]) -> DataFrame:
+    """About ``rows`` rows, chosen by the hash of ``by`` alone, so that reruns agree; all rows if there are no more.
+
+    ``by`` should tell rows apart (an id): rows that agree in it are taken or left together."""
     total = df.count()
     if total <= rows:
         return df
-    return df.filter(F.pmod(F.xxhash64(F.col(by)), F.lit(1_000_000)) < int(1_000_000 * rows / total))
+    return df.filter(F.xxhash64(*by) <= sample_edge(rows, total))

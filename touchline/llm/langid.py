@@ -2,7 +2,7 @@
 
 A word that the model knows is scored by its log frequency in each language. An unknown word is scored by the
 longest character n-grams of it (five down to one) that the model knows. The counts come from labelled rows: at most
-``sample_docs`` of them (a documented bound; the choice is by a hash of the text), and the model keeps the most
+``sample_docs`` of them (a documented bound; the choice is by a hash of id and text, which no score sees), and the model keeps the most
 frequent ``words`` words and ``grams`` n-grams of each length per language, so its size has a fixed bound per language.
 
 Defined results: a null text and a text without any letter give ``und`` with score 0; ties between languages go to the
@@ -50,11 +50,11 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "gram": list(counts), "n": list(counts.values())})
 
 
-def train(docs: DataFrame, *, sample_docs: int = 30_000, words: int = 20_000, grams: int = 6_000) -> Model:
-    """``docs`` has text and lang; rows with a null in either teach nothing."""
+def train(docs: DataFrame, *, id_col: str = "doc_id", sample_docs: int = 30_000, words: int = 20_000, grams: int = 6_000) -> Model:
+    """``docs`` has an id, text and lang; rows with a null in either teach nothing."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select("text", "lang").filter("text is not null and lang is not null")
-    vocabulary = bounded_sample(rows, sample_docs, by="text").mapInPandas(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(id_col).alias("id"), "text", "lang").filter("text is not null and lang is not null")
+    vocabulary = bounded_sample(rows, sample_docs, by=["id", "text"]).select("text", "lang").mapInPandas(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit("<"), F.col("gram"), F.lit(">"))
     def pieces(n: int):
         starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))

@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = 30_000) -> t
     bounded_batches(docs.sparkSession)
     told = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # the sample bounds what is broadcast: at most about sample_docs ids with a label each; texts don't shuffle
-    told = bounded_sample(told, sample_docs, by="doc_id")
+    told = bounded_sample(told, sample_docs, by=["doc_id"])
     rows = cut_lineage(docs.select("doc_id", "text").filter(~held_out()).join(F.broadcast(told), "doc_id").select("text", "toxic"))
     lexicon = learn_lexicon(rows)
 

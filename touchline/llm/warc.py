@@ -1,7 +1,8 @@
 """WARC archives: a writer with revisit records, and a reader that splits compressed archives anywhere.
 
-Writer: each task writes one ``.warc.gz`` whose records are gzip members of their own; its name follows from the task's
-partition, it is written aside and moved into place, so a task that runs again replaces its own file. Records with equal
+Writer: each task writes one ``.warc.gz`` whose records are gzip members of their own. Every attempt of a task writes a
+file of its own, and the manifest, which Spark commits for one attempt of each task, names the file that counts; what a
+lost attempt left is named nowhere and never read. Records with equal
 payloads of at least ``least_bytes`` share one response (the largest id); the others are revisits without payload.
 
 Reader: archives are cut into byte ranges. A task scans its range for the gzip magic, takes a candidate for a member only
@@ -33,6 +34,17 @@ CONTROL = re.compile(r"[\x00-\x20\x7f]")
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, offset long, payload binary"
 
 
+def opened(folder: str):
+    """The file system and the path on it of a folder: a plain path, ``file:/``, ``file:///`` or another scheme."""
+    from urllib.parse import unquote
+
+    from pyarrow import fs
+
+    if folder.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + unquote(folder[len("file:") :]).lstrip("/")
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
 def record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, digest: str) -> bytes:
     payload = (html or "").encode("utf-8", "surrogatepass")
     kind = "response" if refers_to is None else "revisit"
@@ -61,22 +73,19 @@ def write(pages: DataFrame, folder: str, *, least_bytes: int = 1000) -> DataFram
     """Write the archives below ``folder`` (any file system that pyarrow opens); returns path and size of each, read from a written manifest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        name, out, size = f"{path}/part-{task.partitionId():06d}.warc.gz", None, 0
-        aside = f"{name}.{task.taskAttemptId()}"
+        store, path = opened(folder)
+        name, out, size = f"{path}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz", None, 0
         for pdf in batches:
             for page_id, url, html, refers_to, digest in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], pdf["digest"]):
                 if out is None:
                     store.create_dir(path, recursive=True)
-                    out = store.open_output_stream(aside)
+                    out = store.open_output_stream(name)
                 size += out.write(record(None if page_id is None else int(page_id), url, html, None if refers_to is None else int(refers_to), digest))
         if out is not None:
             out.close()
-            store.move(aside, name)
             yield pd.DataFrame({"path": [name], "size": [size]})
 
     # ids travel as text: a column of numbers with gaps would come as floats
@@ -151,9 +160,7 @@ def read(spark: SparkSession, archives: DataFrame, folder: str, *, split_bytes:
     columns = [x.split()[0] for x in RECORD.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, _ = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, _ = opened(folder)
         for pdf in batches:
             for path, size, start, stop in zip(pdf["path"], pdf["size"], pdf["start"], pdf["stop"]):
                 with store.open_input_file(path) as source:

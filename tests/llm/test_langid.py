@@ -1,6 +1,9 @@
+import math
+import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.llm import langid, queries
 
@@ -17,7 +20,7 @@ def test_held_out_accuracy(spark):
 @pytest.fixture(scope="module")
 def model(spark):
     texts = {"en": "the cat sat on the mat and the dog ran", "de": "der hund und die katze auf der matte", "fr": "le chat et le chien sur le tapis"}
-    return langid.train(spark.createDataFrame([(t, k) for k, t in texts.items()], "text string, lang string"))
+    return langid.train(spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts.items())], "doc_id long, text string, lang string"))
 
 
 @pytest.mark.parametrize("text, lang", [("the mat", "en"), ("Die Katze", "de"), ("le chien", "fr"), ("chienne chatte", "fr"), ("hunde katzen", "de"), (None, "und"), ("", "und"), ("123 !? _", "und"), ("² ½ Ⅷ", "und")])
@@ -25,14 +28,59 @@ def test_words_first_then_their_parts(model, text, lang):
     assert langid.Scorer(model).one(text)[0] == lang
 
 
-def test_scores_equal_plain_sums(model):
-    scorer = langid.Scorer(model)
-    import numpy as np
-
-    text = "the hund unknownword the"
-    rows = [model.rows[k] if (k := model.places[0].get(w)) is not None else model.rows[scorer.parts(w)].mean(axis=0) for w in text.split()]
-    odds = np.exp(np.sum(rows, 0))
-    assert scorer.one(text) == (model.langs[int(np.argmax(odds))], pytest.approx(odds.max() / odds.sum()))
+def plain(rows, texts):
+    """The rule from plain counts of (text, lang) rows, without model, sparse rows or memory."""
+    from collections import Counter
+
+    counts = {}
+    for t, lang in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            for size, gram in [(0, w)] + [(n, f"<{w}>"[i : i + n]) for n in range(1, 6) for i in range(len(w) + 3 - n)]:
+                counts.setdefault((lang, size), Counter())[gram] += 1
+    langs, sums = sorted({k[0] for k in counts}), {k: sum(v.values()) for k, v in counts.items()}
+
+    def row(size, gram):
+        told = {x: math.log(counts[x, size][gram] / (sums[x, size] + 1)) for x in langs if counts.get((x, size), {}).get(gram)}
+        return {x: max(-5.0, told[x] - max(told.values())) if x in told else -5.0 for x in langs} if told else None
+
+    for text in texts:
+        total = dict.fromkeys(langs, 0.0)
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            found = [row(0, w)] if row(0, w) else []
+            for n in range(5, 0, -1):
+                if not found:
+                    found = [r for i in range(len(w) + 3 - n) if (r := row(n, f"<{w}>"[i : i + n]))]
+            for r in found:
+                for x in langs:
+                    total[x] += r[x] / len(found)
+        odds = {x: math.exp(v - max(total.values())) for x, v in total.items()}
+        best = max(langs, key=lambda x: (odds[x], [-ord(c) for c in x]))
+        yield best, odds[best] / sum(odds.values())
+
+
+def test_predictions_equal_plain_counting(spark, docs):
+    few = docs.filter("length(text) < 1500 and lang is not null").orderBy("doc_id").limit(60)
+    rows = [(r["text"], r["lang"]) for r in few.collect()]
+    scorer = langid.Scorer(langid.train(few, words=10**6, grams=10**6, entries=10**8))
+    texts = [r[0] for r in docs.filter("text is not null and length(text) between 30 and 400").orderBy("doc_id").select("text").limit(25).collect()] + ["unheard zzz wörds", "qqq"]
+    for text, (lang, score) in zip(texts, plain(rows, texts)):
+        assert scorer.one(text) == (lang, pytest.approx(score, abs=1e-4))
+
+
+def test_the_model_is_bounded_over_all_languages(spark):
+    rows = [(i, " ".join(chr(97 + (i * 7 + j * k) % 26) * (1 + j % 4) + chr(97 + j % 26) for j in range(40)), f"l{i % 300:03d}") for i, k in ((i, 1 + i % 5) for i in range(1200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, entries=20_000)
+    assert len(model.langs) == 300 and len(model.lang) <= 21_000 and len(model.gain) == len(model.lang)
+    whole = langid.train(df, entries=10**7)
+    assert len(whole.lang) > 30_000
+
+
+def test_the_most_frequent_are_kept(spark):
+    rows = [("a", 0, f"w{i}", 1 + i // 10) for i in range(1000)] + [("b", 0, "x", 1)]
+    kept = langid._most_frequent(spark.createDataFrame(rows, "lang string, size int, gram string, n long"), F.lit(105)).collect()
+    own = [r["n"] for r in kept if r["lang"] == "a"]
+    assert sum(n > 90 for n in own) == 100 and set(own) <= set(range(90, 101)) and 100 <= len(own) <= 110 and any(r["lang"] == "b" for r in kept)
 
 
 def test_forgetting_changes_nothing(model, monkeypatch):

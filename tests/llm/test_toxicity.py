@@ -1,3 +1,6 @@
+import math
+import random
+import re
 import zlib
 
 import pytest
@@ -21,6 +24,67 @@ def test_length_normalises():
     assert toxicity.features(m, "idiot " * 2)[1] > toxicity.features(m, "idiot " * 2 + "fine word " * 200)[1]
 
 
+def test_length_in_any_script():
+    assert toxicity.length("one two\nthree\tfour") == 4 and toxicity.length("") == 1 and toxicity.length("漢字" * 300) == 100
+    m = toxicity.automaton({"idiot": 5.0})
+    assert toxicity.features(m, "idiot\n" + "fine\n" * 200) == toxicity.features(m, "idiot " + "fine " * 200)
+
+
+def naive(lexicon, exceptions, text):
+    """The rule by looking at every place of the folded text for every entry."""
+    folded = toxicity.fold(text)
+    closed = lambda a, b: (a == 0 or not folded[a - 1].isalnum()) and (b == len(folded) or not folded[b].isalnum())
+    harmless = [(a, a + len(p)) for p in exceptions for a in range(len(folded)) if folded.startswith(p, a) and closed(a, a + len(p))]
+    best = {}
+    for entry, w in lexicon.items():
+        stem = entry.rstrip("*")
+        for a in range(len(folded)):
+            if folded.startswith(stem, a) and (a == 0 or not folded[a - 1].isalnum()):
+                b = a + len(stem)
+                if closed(a, b) == (stem == entry) and w > best.get(a, (0, 0))[1]:
+                    best[a] = (b, w)
+    total = sum(w for a, (b, w) in best.items() if not any(x <= a and b <= y for x, y in harmless))
+    return (math.log1p(total), math.log1p(100 * total / max(1, len(re.findall(r"[^\x20\x09-\x0D]+", folded)), sum(c.isalpha() for c in folded) / 6))) if total else (0.0, 0.0)
+
+
+def test_the_automaton_equals_naive_matching(docs):
+    rng = random.Random(3)
+    texts = [r["text"] for r in docs.filter("text is not null and length(text) < 2000").orderBy("doc_id").select("text").limit(60).collect()]
+    folded = sorted({w for t in texts for w in toxicity.WORDS.findall(toxicity.fold(t))})
+    lexicon = {w: 1 + rng.random() for w in rng.sample(folded, 60)} | {f"{w[:n]}*": 1 + rng.random() for w in rng.sample(folded, 60) for n in [4] if len(w) > 4}
+    exceptions = sorted({p for t in texts for p in toxicity.phrases(toxicity.fold(t), lexicon)})[::3]
+    assert exceptions
+    m = toxicity.automaton(lexicon, exceptions)
+    for t in texts + ["", "x", *lexicon, *exceptions, "trash can"]:
+        assert toxicity.features(m, t) == pytest.approx(naive(lexicon, [*exceptions, *map(toxicity.fold, toxicity.EXCEPTIONS)], t))
+
+
+def test_the_lexicon_equals_plain_counting(spark, docs, small):
+    rows = [(r["text"], r["toxic"]) for r in docs.join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").filter("text is not null").select("text", "toxic").collect()]
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), least_docs=2, least_weight=0.5)
+    n = [sum(y == k for _, y in rows) for k in (0, 1)]
+    df, mass = {}, {}
+    for t, y in rows:
+        found = toxicity.WORDS.findall(toxicity.fold(t))
+        found += [f"{w[:k]}*" for w in found for k in (4, 5, 6, 7) if len(w) > k]
+        for w in set(found):
+            df.setdefault(w, [0, 0])[y] += 1
+            mass.setdefault(w, [0.0, 0.0])[y] += math.log2(1 + found.count(w))
+    want = {w: math.log((mass[w][1] + 0.5) / (n[1] + 1)) - math.log((mass[w][0] + 0.5) / (n[0] + 1)) - 2 * math.sqrt(1 / b + 1 / (g + 0.5)) for w, (g, b) in df.items() if b >= 2}
+    want = {w: x for w, x in want.items() if x >= 0.5}
+    assert got.keys() == want.keys() and all(got[w] == pytest.approx(want[w], abs=1e-8) for w in want)
+
+
+def test_harmless_phrases_are_learnt(spark):
+    rows = [("you idiot there", 1)] * 200 + [("a fine village idiot stands", 0)] * 60 + [("words of peace", 0)] * 2000
+    df = spark.createDataFrame(rows, "text string, toxic int")
+    lexicon = toxicity.learn_lexicon(df)
+    exceptions = toxicity.learn_exceptions(df, lexicon)
+    assert toxicity.fold("village idiot") in exceptions and toxicity.fold("you idiot") not in exceptions
+    m = toxicity.automaton(lexicon, exceptions)
+    assert toxicity.features(m, "the village idiot")[0] < toxicity.features(m, "the idiot")[0]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")

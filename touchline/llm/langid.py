@@ -1,9 +1,14 @@
 """Language identification by known words first, then by ever shorter character n-grams.
 
 A word that the model knows is scored by its log frequency in each language. An unknown word is scored by the
-longest character n-grams of it (five down to one) that the model knows. The counts come from labelled rows: at most
-``sample_docs`` of them (a documented bound; the choice is by a hash of id and text, which no score sees), and the model keeps the most
-frequent ``words`` words and ``grams`` n-grams of each length per language, so its size has a fixed bound per language.
+longest character n-grams of it (five down to one) that the model knows, by their mean. The counts come from labelled rows: at most
+``sample_docs`` of them (a documented bound; the choice is by a hash of id and text, which no score sees).
+
+The model holds sparse rows: for a word or n-gram the languages that have it, each by how much less likely it is there than
+in the likeliest one (``MOST`` nats at most), and nothing for languages that lack it, which stand at ``MOST``. It keeps the most frequent ``words`` words
+and ``grams`` n-grams of each length per language, and over all languages no more than ``entries`` rows, which are
+dealt evenly where there are many languages, so its size has a fixed bound however many labels the data hold. The frequency at which a
+language reaches its number is found from a histogram of frequencies; among grams of that very frequency a hash chooses.
 
 Defined results: a null text and a text without any letter give ``und`` with score 0; ties between languages go to the
 smaller code; labels may be null (such rows teach nothing); with no labelled rows every text is ``und``.
@@ -21,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bounded_sample, id_crc
+from .common import bounded_batches, bounded_sample, cut_lineage, id_crc
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -34,11 +39,14 @@ REMEMBERED = 100_000
 
 @dataclass
 class Model:
-    """Scores of known words (at 0) and n-grams (at n) as rows of one matrix: 0 for the likeliest language, less for others."""
+    """Row i of the words (size 0) and n-grams (size n) has the entries ``starts[i]`` up to ``starts[i + 1]``: languages, and how
+    much each one gains over a language that lacks it."""
 
     langs: list[str]
     places: list[dict[str, int]]
-    rows: np.ndarray
+    starts: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,22 +58,34 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "gram": list(counts), "n": list(counts.values())})
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", sample_docs: int = 30_000, words: int = 20_000, grams: int = 6_000) -> Model:
-    """``docs`` has an id, text and lang; rows with a null in either teach nothing."""
+def _most_frequent(every: DataFrame, limit) -> DataFrame:
+    """Of each language and size about the ``limit`` most frequent grams. Only a histogram of frequencies meets in one place."""
+    order = Window.partitionBy("lang", "size").orderBy(F.desc("n"))
+    levels = every.groupBy("lang", "size", "n").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(order) - F.col("c"))
+    edge = levels.filter(F.col("before") + F.col("c") > limit).groupBy("lang", "size").agg(F.max("n").alias("edge"), F.max_by(F.greatest(F.lit(0), limit - F.col("before")) / F.col("c"), "n").alias("part"))
+    chance = F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) / float(1 << 20)
+    joined = every.join(edge, ["lang", "size"], "left")
+    return joined.filter(F.col("edge").isNull() | (F.col("n") > F.col("edge")) | ((F.col("n") == F.col("edge")) & (chance < F.col("part")))).drop("edge", "part")
+
+
+def train(docs: DataFrame, *, id_col: str = "doc_id", sample_docs: int = 30_000, words: int = 20_000, grams: int = 6_000, entries: int = 600_000) -> Model:
+    """``docs`` has an id, text and lang; rows with a null text or lang teach nothing."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), "text", "lang").filter("text is not null and lang is not null")
-    vocabulary = bounded_sample(rows, sample_docs, by=["id", "text"]).select("text", "lang").mapInPandas(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sample = bounded_sample(rows, sample_docs, by=["id", "text"]).select("text", "lang")
+    vocabulary = sample.mapInPandas(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit("<"), F.col("gram"), F.lit(">"))
+
     def pieces(n: int):
         starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
         return F.transform(starts, lambda i: F.struct(F.lit(n).alias("size"), F.substring(padded, i, n).alias("gram")))
 
     by_gram = vocabulary.select("lang", "n", F.explode(F.concat(*[pieces(n) for n in range(1, LONGEST + 1)])).alias("p")).filter(F.length("p.gram") == F.col("p.size")).groupBy("lang", "p.size", "p.gram").agg(F.sum("n").alias("n"))
-    every = vocabulary.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(by_gram)
-    rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
-    total = F.sum("n").over(Window.partitionBy("lang", "size"))
-    kept = every.select("*", rank.alias("r"), total.alias("total")).filter(F.col("r") <= F.when(F.col("size") == 0, words).otherwise(grams))
-    return _model(kept.select("lang", "size", "gram", "n", "total").toPandas())
+    every = cut_lineage(vocabulary.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(by_gram))
+    totals = every.groupBy("lang", "size").agg(F.sum("n").alias("total"))
+    share = min(1.0, entries / max(1, (words + LONGEST * grams) * totals.select("lang").distinct().count()))
+    limit = F.when(F.col("size") == 0, max(1, int(words * share))).otherwise(max(1, int(grams * share)))
+    return _model(_most_frequent(every, limit).join(totals, ["lang", "size"]).select("lang", "size", "gram", "n", "total").toPandas())
 
 
 def _model(kept: pd.DataFrame) -> Model:
@@ -76,15 +96,18 @@ def _model(kept: pd.DataFrame) -> Model:
         at[i] = places[size].setdefault(gram, n)
         n += at[i] == n
     lang = kept["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
-    size, total = kept["size"].to_numpy(np.int64), kept["total"].to_numpy(float)
-    floor = np.zeros((LONGEST + 1, len(langs)))
-    floor[size, lang] = np.log(0.5 / (total + 1))
-    sizes = np.empty(n, np.int64)
-    sizes[at] = size
-    rows = floor[sizes]
-    rows[at, lang] = np.log(kept["n"].to_numpy(float) / (total + 1))
-    rows -= rows.max(axis=1, keepdims=True) if n and langs else 0
-    return Model(langs, places, np.maximum(rows, -MOST))
+    told = np.log(kept["n"].to_numpy(float) / (kept["total"].to_numpy(float) + 1))
+    best = np.full(n, -np.inf)
+    np.maximum.at(best, at, told)
+    gain = MOST + np.maximum(told - best[at], -MOST)
+    order = np.lexsort((lang, at))
+    return Model(langs, places, np.searchsorted(at[order], np.arange(n + 1)), lang[order].astype(np.int32), gain[order].astype(np.float32))
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges in a row, and the ranges' lengths."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n), n
 
 
 class Scorer:
@@ -92,14 +115,12 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.rows = np.zeros((len(model.rows) + REMEMBERED, len(model.langs)))
-        self.rows[: len(model.rows)] = model.rows
         self.forget()
 
     def forget(self) -> None:
-        self.at = dict(self.model.places[0])
-        self.free = len(self.model.rows)
-        self.rows[self.free :] = 0
+        self.at: dict[str, int] = {}
+        self.starts, self.ends = np.zeros(REMEMBERED, np.int64), np.zeros(REMEMBERED, np.int64)
+        self.lang, self.gain, self.used = np.zeros(4 * REMEMBERED, np.int32), np.zeros(4 * REMEMBERED, np.float32), 0
 
     def parts(self, word: str) -> list[int]:
         """The longest n-grams of the word that the model knows."""
@@ -111,34 +132,57 @@ class Scorer:
         return []
 
     def learn(self, words: list[str]) -> None:
-        """Remember the scores of words that the model lacks: the mean over their parts, 0 without any."""
+        """Remember the gains of words that the model lacks: the mean over their parts, none without any."""
+        m = self.model
         parts = [self.parts(w) for w in words]
         sizes = np.array([len(p) for p in parts])
-        self.at.update(zip(words, range(self.free, self.free + len(words))))
-        if some := [k for p in parts for k in p]:
-            told = np.flatnonzero(sizes)
-            sums = np.add.reduceat(self.model.rows[some], (np.cumsum(sizes) - sizes)[told])
-            self.rows[self.free + told] = sums / sizes[told, None]
-        self.free += len(words)
+        rows = np.array([k for p in parts for k in p], np.int64)
+        each, n = ranges(m.starts[rows], m.starts[rows + 1])
+        word = np.repeat(np.repeat(np.arange(len(words)), sizes), n)
+        keys, back = np.unique(word * len(m.langs) + m.lang[each], return_inverse=True)
+        sums = np.bincount(back, m.gain[each], len(keys))
+        word = keys // len(m.langs)
+        if self.used + len(keys) > len(self.lang):
+            room = max(2 * len(self.lang), self.used + len(keys))
+            self.lang, self.gain = np.resize(self.lang, room), np.resize(self.gain, room)
+        own = slice(self.used, self.used + len(keys))
+        self.lang[own], self.gain[own] = keys % len(m.langs), sums / sizes[word]
+        new = slice(len(self.at), len(self.at) + len(words))
+        edges = self.used + np.searchsorted(word, np.arange(len(words) + 1))
+        self.starts[new], self.ends[new] = edges[:-1], edges[1:]
+        self.at.update(zip(words, range(new.start, new.stop)))
+        self.used += len(keys)
 
     def one(self, text: str | None) -> tuple[str, float]:
+        m = self.model
         counts = Counter(LETTERS.findall(text.lower())) if text else {}
-        if not self.model.langs or not any(any(map(str.isalpha, w)) for w in counts):
+        if not m.langs or not any(any(map(str.isalpha, w)) for w in counts):
             return UNKNOWN, 0.0
-        total, words = np.zeros(len(self.model.langs)), list(counts)
-        for i in range(0, len(words), REMEMBERED):
-            some = words[i : i + REMEMBERED]
-            places = list(map(self.at.get, some))
-            if None in places:
-                if self.free + len(some) > len(self.rows):
-                    self.forget()
-                    places = list(map(self.at.get, some))
-                self.learn([w for w, k in zip(some, places) if k is None])
-                places = list(map(self.at.get, some))
-            total += np.fromiter(map(counts.get, some), float, len(some)) @ self.rows[places]
+        words = list(counts)
+        total = np.zeros(len(m.langs))
+        known = list(map(m.places[0].get, words))
+        if None in known:
+            lacking = [w for w, k in zip(words, known) if k is None]
+            for i in range(0, len(lacking), REMEMBERED):
+                some = lacking[i : i + REMEMBERED]
+                if new := [w for w in some if w not in self.at]:
+                    if len(self.at) + len(new) > REMEMBERED:
+                        self.forget()
+                        new = some
+                    self.learn(new)
+                at = np.fromiter(map(self.at.get, some), np.int64, len(some))
+                total += self.gains(self.starts[at], self.ends[at], self.lang, self.gain, some, counts)
+            words, known = [w for w, k in zip(words, known) if k is not None], [k for k in known if k is not None]
+        if known:
+            at = np.array(known)
+            total += self.gains(m.starts[at], m.starts[at + 1], m.lang, m.gain, words, counts)
         odds = np.exp(total - total.max())
         best = int(np.argmax(odds))
-        return self.model.langs[best], float(odds[best] / odds.sum())
+        return m.langs[best], float(odds[best] / odds.sum())
+
+    def gains(self, starts: np.ndarray, ends: np.ndarray, lang: np.ndarray, gain: np.ndarray, words: list[str], counts: Counter) -> np.ndarray:
+        each, n = ranges(starts, ends)
+        return np.bincount(lang[each], gain[each] * np.repeat(np.fromiter(map(counts.get, words), float, len(words)), n), len(self.model.langs))
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:

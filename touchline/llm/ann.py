@@ -14,7 +14,7 @@ empty, zero or hold null or non-finite components, and rows with a null id, take
 pivots of that length their own axes stand in).
 
 Vectors without any structure are the worst case: in 64 independent dimensions the order of pivots tells little, so long prefixes
-and a fifth of the shard are needed for the recall, and a query costs about as much as all products would. The fewer
+and three tenths of the shard are needed for the recall in small tables, and a query costs about as much as all products would. The fewer
 dimensions the vectors really fill, the smaller ``share`` can be.
 """
 
@@ -32,7 +32,7 @@ from .blocks import best, search_shards, shards_for
 
 
 #: The part of a shard that is ranked exactly, set from recall measured with pruning on.
-SHARE = 0.2
+SHARE = 0.3
 
 
 def candidate_count(rows: int, k: int, share: float = SHARE) -> int:

@@ -132,7 +132,7 @@ def learn_exceptions(labelled: DataFrame, lexicon: dict[str, float], *, least_do
     whole = counts.filter("phrase = ''").first()
     bad, good = (int(whole["bad"]), int(whole["good"])) if whole else (0, 0)
     ratio = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    fine = ratio + 2 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)) <= 0
+    fine = ratio + 2 * F.sqrt(1 / (F.col("bad") + 1) + 1 / (F.col("good") + 0.5)) <= 0
     return sorted(r["phrase"] for r in counts.filter(F.col("phrase") != "").filter(fine).select("phrase").collect())
 
 

@@ -68,6 +68,20 @@ def test_odd_rows(odd, none):
     assert secrets.scan(none).count() == 0 and secrets.redact(none).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    """Spans of a generated file of 100,000 matches, half of them mixed strings beside base spans."""
+    import time
+
+    text = " ".join(f"password=hunter{i:06d} Zx9{i:06d}kQ2wAb1Cd2e{i % 7}" for i in range(50_000))
+    df = spark.createDataFrame([(1, text, "a"), (2, "password=hunter22", "b")], "doc_id long, text string, source string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.digest_columns(secrets.scan(df)).collect()}
+    assert got[1]["n_assign"] == 50_000 and got[1]["base_sha256"] == plain(text)[3] and got[1]["spans"].count("token:") == 50_000
+    assert time.time() - began < 150
+    fewer = df.withColumn("text", F.substring("text", 1, text.index(" password=hunter005000")))
+    assert secrets.redact(fewer).filter("doc_id = 1").first()["text"] == "[SECRET] " * 9_999 + "[SECRET]"
+
+
 def test_main_path_is_native(spark, docs):
     plan = secrets.redact(docs.withColumn("x", F.lit(1)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

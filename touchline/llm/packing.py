@@ -1,12 +1,14 @@
 """Packing documents into sequences by first-fit decreasing, in randomised groups.
 
-A hash deals the documents into groups of about ``group_chars`` characters; each group is tokenised, cut and packed in
+A hash deals the documents into groups of about ``group_chars`` characters (within each step of a training order, if one is
+given, so that the sequences of a step come before those of the next); each group is tokenised, cut and packed in
 one task, so token ids never leave it. Documents longer than a sequence give full sequences; the remainders are placed
 in order of falling length, each into the first sequence that has room, which a tournament tree of the sequences' free
 places finds in logarithmic time. Then the emptiest sequences are taken apart again and their pieces cut to fill the
 gaps of the others; what is left at last is cut at powers of two, which need no padding.
 
-Defined results: a null text is empty and has the end id alone; repeated rows stay rows; an empty table gives an empty
+Defined results: a null text is empty and has the end id alone; repeated rows stay rows, told apart by ``row_id``, and
+are dealt into many groups like others; a null step comes before all; an empty table gives an empty
 result. Memory: the ids of one group, four bytes each, and one document's own tokenisation.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_id long"
 Piece = tuple[int, int, int]  # document, start, length
 
 
@@ -136,9 +138,9 @@ def _packed(encoder: Callable[[], Callable[[str], list[int]]], size: int, end_id
         for k, sequence in enumerate(pack([len(x) for x in tokens], size)):
             offset = 0
             for doc, start, length in sequence:
-                rows.append((ids[doc], start, length, zlib.crc32(tokens[doc][start : start + length].tobytes()), len(tokens[doc]), (group << 32) | k, offset))
+                rows.append((ids[doc], start, length, zlib.crc32(tokens[doc][start : start + length].tobytes()), len(tokens[doc]), (group << 32) | k, offset, (group << 32) | doc))
                 offset += length
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row_id"])
         return out.astype({"doc_id": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,10 +160,20 @@ def _packed(encoder: Callable[[], Callable[[str], list[int]]], size: int, end_id
     return run
 
 
-def pack_documents(docs: DataFrame, *, size: int = 2048, end_id: int = 1, group_chars: int = 4_000_000, encoder: Callable[[], Callable[[str], list[int]]] = public_encoder) -> DataFrame:
-    """One row per piece of a document (doc_id, text); ``sequence_id`` holds the group in its high half."""
+def pack_documents(docs: DataFrame, *, size: int = 2048, end_id: int = 1, group_chars: int = 4_000_000, step_col: str | None = None, encoder: Callable[[], Callable[[str], list[int]]] = public_encoder) -> DataFrame:
+    """One row per piece of a document (doc_id, text); ``sequence_id`` holds the group in its high half, groups of a smaller
+    ``step_col`` (a small integer) first, and ``row_id`` is the row that the piece comes from."""
     bounded_batches(docs.sparkSession)
-    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    groups = max(1, math.ceil(chars / group_chars))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(groups)).alias("group"))
+    step = F.coalesce(F.col(step_col).cast("int"), F.lit(-1)) if step_col else F.lit(0)
+    chars = {r["step"]: r["chars"] for r in docs.groupBy(step.alias("step")).agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).collect()}
+    firsts, at = [], 0
+    for s in sorted(chars):
+        n = max(1, math.ceil(chars[s] / group_chars))
+        firsts.append((s, at, n))
+        at += n
+    place = F.create_map(*[F.lit(x) for s, a, n in firsts for x in (s, F.struct(F.lit(a).alias("first"), F.lit(n).alias("n")))]) if firsts else None
+    own = place[step] if firsts else F.struct(F.lit(0).alias("first"), F.lit(1).alias("n"))
+    # a few hundred neighbouring rows share a salt, so that rows repeated without end don't meet in one group
+    salted = F.xxhash64("doc_id", "text", F.shiftright(F.monotonically_increasing_id(), 8))
+    dealt = docs.select("doc_id", "text", own.alias("own"), salted.alias("h")).select("doc_id", "text", (F.col("own.first") + F.pmod("h", F.col("own.n"))).cast("long").alias("group"))
     return dealt.repartition("group").sortWithinPartitions("group", "doc_id", F.xxhash64("text")).select("group", "doc_id", "text").mapInPandas(_packed(encoder, size, end_id), SCHEMA)

@@ -93,7 +93,7 @@ p AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY rn, kind OR
 a AS (SELECT rn, kind, name, v, stop - length(m) AS start, stop FROM p WHERE kind <> 0 OR length(v) >= 6),
 b AS (SELECT * FROM a WHERE kind < 3),
 c AS (SELECT * FROM b UNION ALL SELECT * FROM a WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.rn = a.rn AND b.start < a.stop AND a.start < b.stop)),
-o AS (SELECT v, count(DISTINCT owner) <= 2 AS live FROM c JOIN r USING (rn) GROUP BY v),
+o AS (SELECT v, count(DISTINCT owner) <= 2 AND count(DISTINCT (owner, doc_id)) <= 10 AS live FROM c JOIN r USING (rn) GROUP BY v),
 e AS (SELECT c.*, live FROM c JOIN o USING (v)),
 g AS (SELECT rn, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
     string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (kind < 3 OR live) AS every,

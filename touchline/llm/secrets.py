@@ -11,6 +11,8 @@ empty; a null owner is one owner; rows that repeat give the same spans each; an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,24 @@ HEX = r"[0-9a-f]{24,}"
 MIXED = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "token"]
 LEAST_ASSIGNED = 6
+#: Spans that are put in a row at a time.
+BLOCK = 128
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(array: Column) -> Column:
+    """A bound array as arrays of ``BLOCK`` elements, so that what grows step by step stays short."""
+    n = F.ceil(F.size(array) / F.lit(BLOCK)).cast("int")
+    return F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(array, i * BLOCK + 1, F.lit(BLOCK))), lambda x: F.size(x) > 0)
+
+
 def _spans(text: Column, kind: str, pattern: str, group: int = 0) -> Column:
-    """Every match of ``pattern``, leftmost first and without overlap, with its place."""
+    """Every match of ``pattern``, leftmost first and without overlap, with its place. Positions are summed in two levels."""
     matches, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
 
@@ -36,8 +51,12 @@ def _spans(text: Column, kind: str, pattern: str, group: int = 0) -> Column:
         stop = start + F.length(x["m"])
         return F.struct(stop.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), stop.alias("stop"), x["v"].alias("value")))).alias("out"))
 
+    def block(acc: Column, rows: Column) -> Column:
+        done = F.aggregate(rows, F.struct(acc["pos"].alias("pos"), F.array().cast(SPAN).alias("out")), step)
+        return _bound(done, lambda d: F.struct(d["pos"].alias("pos"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
     zipped = F.arrays_zip(matches.alias("m"), values.alias("v"), F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"))
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out")), step)["out"]
+    found = _bound(zipped, lambda rows: F.flatten(F.aggregate(_blocks(rows), F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out")), block)["out"]))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
@@ -51,9 +70,14 @@ def mixed_spans(text: Column, base: Column) -> Column:
 
     def odd(s: Column) -> Column:
         v = s["value"]
-        return v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]") & ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+        return v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
+
+    def free(rows: Column, base: Column) -> Column:
+        # base spans near a block are picked once for all of its strings
+        near = F.filter(base, lambda b: (b["start"] < F.element_at(rows, -1)["stop"]) & (b["stop"] > F.element_at(rows, 1)["start"]))
+        return _bound(near, lambda n: F.filter(rows, lambda s: ~F.exists(n, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))))
 
-    return F.filter(_spans(text, "token", MIXED), odd)
+    return _bound(base, lambda b: _bound(F.filter(_spans(text, "token", MIXED), odd), lambda spans: F.flatten(F.transform(_blocks(spans), lambda rows: free(rows, b)))))
 
 
 def _named(spans: Column) -> Column:
@@ -98,10 +122,20 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", **columns: str) -> DataFr
     spans = scan(docs, **columns).filter("size(every) > 0").select(F.col("key").alias("__key"), F.col("every").alias("__spans")).dropDuplicates(["__key"])
     rows = docs.withColumn("__key", row_key(id_col, text_col, owner_col)).join(spans, "__key", "left")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text_col), acc["pos"] + 1, F.greatest(F.lit(0), s["start"] - acc["pos"]))
-        inside = (s["start"] <= acc["pos"]) & acc["any"]
-        return F.struct(F.greatest(acc["pos"], s["stop"]).alias("pos"), F.lit(True).alias("any"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
+    def block(acc: Column, some: Column) -> Column:
+        # finding a place in a text takes time by its length, so a block's spans look for theirs in the block's part of it
+        def inside(part: Column) -> Column:
+            def step(own: Column, s: Column) -> Column:
+                gap = F.substring(part, own["pos"] - acc["pos"] + 1, F.greatest(F.lit(0), s["start"] - own["pos"]))
+                covered = (s["start"] <= own["pos"]) & own["any"]
+                return F.struct(F.greatest(own["pos"], s["stop"]).alias("pos"), F.lit(True).alias("any"), F.when(covered, own["out"]).otherwise(F.concat(own["out"], gap, F.lit(mark))).alias("out"))
+
+            done = F.aggregate(some, F.struct(acc["pos"].alias("pos"), acc["any"].alias("any"), F.lit("").alias("out")), step)
+            return _bound(done, lambda d: F.struct(d["pos"].alias("pos"), d["any"].alias("any"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+        last = F.array_max(F.transform(some, lambda s: s["stop"]))
+        return _bound(F.substring(F.col(text_col), acc["pos"] + 1, F.greatest(F.lit(0), last - acc["pos"])), inside)
 
-    done = F.aggregate("__spans", F.struct(F.lit(0).alias("pos"), F.lit(False).alias("any"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["pos"] + 1, F.length(text_col))))
+    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("any"), F.array().cast("array<string>").alias("out"))
+    done = F.aggregate(_blocks(F.col("__spans")), start, block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text_col), acc["pos"] + 1, F.length(text_col))))
     return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(done)).drop("__key", "__spans")

@@ -58,6 +58,20 @@ def test_forecasts_know_nothing_of_their_own_or_later_gameweeks(weeks):
         assert a == b and a
 
 
+def test_fitted_models_know_nothing_of_their_own_or_later_gameweeks(weeks):
+    """Every column but keys and price is spoilt from a gameweek on, and xG alone for a player who had none before."""
+    from touchline.operators import learned
+
+    cut, keys = 9, {"player_id", "gameweek", "position", "team", "price_tenths"}
+    some = weeks.filter("player_id % 4 = 0 and gameweek <= 12").withColumns({c: F.when((F.col("gameweek") < 9) & (F.col("player_id") % 8 == 0), F.lit(0.0)).otherwise(F.col(c)).cast(weeks.schema[c].dataType) for c in ("xG", "xA")})
+    numeric = [f.name for f in weeks.schema.fields if f.name not in keys and f.dataType.typeName() in ("integer", "long", "double")]
+    spoilt = some.withColumns({c: F.when(F.col("gameweek") >= cut, F.lit(7)).otherwise(F.col(c)).cast(weeks.schema[c].dataType) for c in numeric})
+    a, b = (sorted(map(str, learned.windows(d).filter(F.col("gameweek") <= cut).collect())) for d in (some, spoilt))
+    assert a == b and a
+    a, b = (sorted((r["player_id"], r["gameweek"], round(r["mv_mean"], 9), round(r["weight"], 9)) for r in learned.learn_positions(learned.windows(d)).filter(F.col("gameweek") == cut).collect()) for d in (some, spoilt))
+    assert a == b and a
+
+
 def test_a_player_without_minutes_scores_nothing(spark):
     df = spark.createDataFrame([(1, g, "MID", 0, 0.0, 0.0, 0, 1) for g in range(1, 8)] + [(2, g, "GK", 90, 4.0, 0.0, 1, 2) for g in range(1, 8)], "player_id long, gameweek long, position string, minutes long, points double, xG double, was_home long, opponent_team long")
     got = {(r["player_id"], r["gameweek"]): r for r in en.enriched(df).collect()}

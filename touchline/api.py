@@ -61,7 +61,7 @@ def blended(rows: DataFrame, *, news: DataFrame | None = None) -> DataFrame:
     """The structural forecast and the fitted state model at fixed weights, times availability. ``news`` has player_id and news_text."""
     ahead = coming(rows)
     last = ahead.groupBy("player_id").agg(F.max("gameweek").alias("gameweek"))
-    fitted = learned.learn_positions(learned.windows(enriched.with_expected_points(ahead), lookback=38).join(last, ["player_id", "gameweek"]))
+    fitted = learned.learn_positions(learned.windows(ahead, lookback=38).join(last, ["player_id", "gameweek"]))
     recent = features.latest(rows.withColumn("recent", F.avg((F.col("minutes") > 0).cast("double")).over(gameweek.in_order().rowsBetween(-2, 0)))).select("player_id", "recent")
     both = structural(rows).join(fitted, "player_id", "left").join(recent, "player_id", "left")
     both = both.withColumn("news_text", F.lit(None).cast("string")) if news is None else both.join(news.select("player_id", "news_text"), "player_id", "left")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline import fixed
-from touchline.functions.scoring import share_of_minutes
+from touchline.functions.scoring import expected_points, share_of_minutes, zero_if_null
 
 from .gameweek import in_order
 
@@ -200,11 +200,18 @@ def learn_positions(windows: DataFrame, *, iterations: int = 20, least: int = 3,
 
 
 def windows(df: DataFrame, *, lookback: int = 8) -> DataFrame:
-    """For each row of ``df`` (with xpts), the ``lookback`` gameweeks before it; rows without any drop out.
+    """For each row of ``df``, the ``lookback`` gameweeks before it; rows without any drop out.
 
-    e is the row's expected points times the share of the three gameweeks before it that were played.
+    x is a gameweek's expected points and share of minutes; e is the expected points times the share of the three gameweeks
+    before it that were played. Whether real goals (assists) stand in for expected ones, because those are all zero,
+    is told from the window alone, so nothing of the row itself or after it enters.
     """
+    get = lambda c: zero_if_null(F.col(c)) if c in df.columns else F.lit(0.0)
     played = F.avg((F.col("minutes") > 0).cast("double")).over(in_order().rowsBetween(-3, -1))
-    row = F.struct(F.array("xpts", share_of_minutes(F.col("minutes"))).alias("x"), F.col("points").cast("double").alias("p"), (F.col("__played") * F.col("xpts")).alias("e"))
-    out = df.withColumn("__played", played).withColumn("__w", F.collect_list(row).over(in_order().rowsBetween(-lookback, -1)))
-    return out.filter(F.size("__w") > 0).select("player_id", "gameweek", "position", F.col("__w.x").alias("x"), F.col("__w.p").alias("points"), F.col("__w.e").alias("e"))
+    points = [expected_points(get, F.col("position"), get(g), get(a)).alias(f"{g}_{a}") for g in ("xG", "goals") for a in ("xA", "assists")]
+    row = F.struct(*points, share_of_minutes(F.col("minutes")).alias("share"), F.col("points").cast("double").alias("p"), F.col("__played").alias("played"), get("xG").alias("g"), get("xA").alias("a"))
+    out = df.withColumn("__played", played).withColumn("__w", F.collect_list(row).over(in_order().rowsBetween(-lookback, -1))).filter(F.size("__w") > 0)
+    out = out.withColumn("__g", F.exists("__w", lambda r: r["g"] != 0)).withColumn("__a", F.exists("__w", lambda r: r["a"] != 0))
+    chosen = lambda r: F.when(F.col("__g"), F.when(F.col("__a"), r["xG_xA"]).otherwise(r["xG_assists"])).when(F.col("__a"), r["goals_xA"]).otherwise(r["goals_assists"])
+    x, e = F.transform("__w", lambda r: F.array(chosen(r), r["share"])), F.transform("__w", lambda r: r["played"] * chosen(r))
+    return out.select("player_id", "gameweek", "position", x.alias("x"), F.col("__w.p").alias("points"), e.alias("e"))

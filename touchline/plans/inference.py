@@ -165,7 +165,7 @@ def hmm_em(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mvhmm_fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-feature model fitted before every gameweek, its forecast and its weight in the blend."""
-    return learned.learn_positions(learned.windows(en.with_expected_points(weekly(spark, sf_dir))))
+    return learned.learn_positions(learned.windows(weekly(spark, sf_dir)))
 
 
 def forecasts(rows: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def forecasts(rows: DataFrame) -> DataFrame:
     base = rows.select("player_id", "gameweek", "position", "team", "price_tenths", F.col("points").cast("double").alias("actual"), ft.rolling_baseline().alias("rolling"), ft.ewma_baseline().alias("ewma"))
     structural = en.enriched(rows).select("player_id", "gameweek", "enr_mean", "enr_var", "enr_down")
     scalar = fc.one_step(fc.series(rows)).filter("t > 0").select("player_id", "gameweek", "kf_mean", "kf_var", "hmm_mean", "hmm_var", "fused_mean", "fused_var", "t")
-    fitted = learned.learn_positions(learned.windows(en.with_expected_points(rows)))
+    fitted = learned.learn_positions(learned.windows(rows))
     keys = ["player_id", "gameweek"]
     joined = base.join(structural, keys).join(scalar, keys).join(fitted, keys)
     w = F.col("weight")

@@ -75,11 +75,6 @@ def top_eleven(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("r <= 11").groupBy("gameweek").agg(F.sum("points").alias("points"))
 
 
-def earned(chosen: DataFrame, rows: DataFrame) -> DataFrame:
-    """Real points of the starters, by problem."""
-    return chosen.filter("role = 'starter'").join(rows, "player_id").groupBy("problem").agg(F.sum("points").alias("points"))
-
-
 @query(f"""WITH {S.GW}, p AS (SELECT gameweek, points, unnest([{{'strategy': 'even', 'take': player_id % 2 = 0}}, {{'strategy': 'third', 'take': player_id % 3 = 0}}], recursive := true) FROM gw),
 s AS (SELECT strategy, gameweek, CAST(sum(points) FILTER (take) AS BIGINT) AS points FROM p GROUP BY ALL HAVING count(*) FILTER (take) > 0), o AS (SELECT gameweek, CAST(sum(points) AS BIGINT) AS best FROM gw GROUP BY ALL)
 SELECT strategy, count(*) AS n, CAST(sum(points) AS BIGINT) AS total, round(avg(points), 6) AS mean, round(stddev_pop(points), 6) AS sd, min(points) AS worst, round(avg((best - points) / greatest(best::DOUBLE, 1e-6)), 6) AS mean_gap, round(CASE WHEN avg(points) > 0 THEN stddev_pop(points) / avg(points) ELSE 0 END, 6) AS cv, round(coalesce(sum(points) * 100e0 / nullif(sum(best), 0), 0), 6) AS percent_of_best
@@ -100,12 +95,12 @@ def greedy_squad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ilp_squad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.exact(structural(spark, sf_dir), budget=TIGHT).select("problem", "player_id", "position", "role", "is_captain", "formation", F.round("objective", 4).alias("objective"))
+    return sq.exact(structural(spark, sf_dir), budget=TIGHT).select("problem", "player_id", "position", "role", "is_captain", "formation", F.round("objective", 4).alias("objective"), F.round("bound", 4).alias("bound"), "exact")
 
 
 @query()
 def semivariance_squad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.exact(structural(spark, sf_dir, risk=0.5), budget=TIGHT).select("problem", "player_id", "position", "role", "is_captain", "formation", F.round("objective", 4).alias("objective"))
+    return sq.exact(structural(spark, sf_dir, risk=0.5), budget=TIGHT).select("problem", "player_id", "position", "role", "is_captain", "formation", F.round("objective", 4).alias("objective"), F.round("bound", 4).alias("bound"), "exact")
 
 
 @query()
@@ -124,7 +119,7 @@ def lagrangian_squad(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle_squad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best squad in hindsight of each gameweek."""
     c = candidates(weekly(spark, sf_dir), F.col("gameweek"), F.col("points").cast("double"), F.col("points").cast("double"))
-    return sq.exact(c, budget=TIGHT).select("problem", "player_id", "position", "role", "is_captain", "formation", "objective")
+    return sq.exact(c, budget=TIGHT).select("problem", "player_id", "position", "role", "is_captain", "formation", "objective", F.round("bound", 4).alias("bound"), "exact")
 
 
 @query()

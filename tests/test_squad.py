@@ -135,3 +135,22 @@ def test_broken_rules_are_found(spark):
     rows = [("p", p, "club", 100, "starter" if i < {"GK": 1, "DEF": 4, "MID": 4, "FWD": 2}[p] else "bench") for p in fixed.POSITIONS for i in range(fixed.SQUAD_QUOTA[p])]
     r = sq.validate(spark.createDataFrame(rows, "problem string, position string, team string, price_tenths long, role string")).first()
     assert (r["quota_ok"], r["formation_ok"], r["budget_ok"], r["club_ok"], r["left_tenths"]) == (True, True, False, False, -500)
+
+
+def test_other_ways_choose_legal_squads(spark):
+    """The multiplier's and the greedy squads keep all rules; none beats the best one, and no bound lies below it."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"p{k}", 100 * k + i, ["GK", "DEF", "MID", "FWD"][i % 4], f"t{i % 9}", rng.randint(35, 90), float(m := round(rng.uniform(0, 9), 3)), m) for k in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "problem string, player_id long, position string, team string, price_tenths int, score double, mean double")
+    best = {r["problem"]: r["objective"] for r in sq.exact(df, budget=85.0).collect()}
+    for choose in (sq.lagrangian, sq.greedy_squad):
+        chosen = choose(df, budget=85.0)
+        whole = chosen.join(df.select("problem", "player_id", "team", "price_tenths", "mean", "score"), ["problem", "player_id"])
+        checks = sq.validate(whole, budget=85.0).collect()
+        assert checks and all(r["quota_ok"] and r["formation_ok"] and r["budget_ok"] and r["club_ok"] for r in checks)
+        for r in whole.filter("role = 'starter'").groupBy("problem").agg(F.sum("score").alias("s"), F.first("objective").alias("o"), F.first("bound").alias("b")).collect():
+            assert abs(r["s"] - r["o"]) < 1e-6 and r["o"] <= best[r["problem"]] + 1e-6
+        vice = {r["problem"]: r for r in sq.vice_captain(chosen, df).filter("is_captain or is_vice").groupBy("problem").agg(F.count("*").alias("n"), F.countDistinct("player_id").alias("d")).collect()}
+        assert all((r["n"], r["d"]) == (2, 2) for r in vice.values())

@@ -80,7 +80,7 @@ def regression(rows: DataFrame, *, kind: str = "ridge", columns: list[str] | Non
 
 
 MODELS: dict[str, Model] = {"rolling": rolling, "scalar": scalar, "structural": structural, "blended": blended, "regression": regression}
-OPTIMIZERS: dict[str, Optimizer] = {"exact": squad.exact}
+OPTIMIZERS: dict[str, Optimizer] = {"exact": squad.exact, "greedy": squad.greedy_squad, "lagrangian": squad.lagrangian}
 
 
 class SquadPlanner:

@@ -253,8 +253,7 @@ def exact(candidates: DataFrame, *, budget: float = fixed.BUDGET, cap: int = fix
         rows = [(group["problem"].iloc[0], x, at[x], role, x == captain, formation, objective, bound, price, proven) for role, xs in (("starter", starters), ("bench", others)) for x in sorted(xs)]
         return pd.DataFrame(rows, columns=columns)
 
-    few = pruned(candidates, keep=cap).select(F.col("problem").cast("string").alias("problem"), F.col("player_id").cast("long").alias("player_id"), "position", F.col("team").cast("string").alias("team"), F.col("price_tenths").cast("int").alias("price_tenths"), F.col("score").cast("double").alias("score"), F.col("mean").cast("double").alias("mean"))
-    return few.groupBy("problem").applyInPandas(solve, OUT)
+    return _problems(candidates, cap).groupBy("problem").applyInPandas(solve, OUT)
 
 
 TRACE = "problem string, step int, multiplier double, dual double, primal double, slack double, converged boolean"
@@ -281,6 +280,34 @@ def _inner(place: np.ndarray, team: np.ndarray, score: np.ndarray, cap: int) ->
     return squad, max(trials, key=lambda x: round(score[x].sum(), 9))
 
 
+def _descend(group: pd.DataFrame, budget: float, cap: int, iterations: int, tol: float) -> tuple[list[tuple], tuple[np.ndarray, np.ndarray] | None, float, float]:
+    """The trace of a problem's multiplier, the best squad and lineup within the budget, their score and the best dual bound. ``group`` comes by id."""
+    place = group["position"].map(fixed.POSITIONS.index).to_numpy()
+    team, price, gain = group["team"].to_numpy(), group["price_tenths"].to_numpy() / 10, group["score"].to_numpy()
+    lam, theta, still, best_dual, best_primal, rows, kept = 0.5, 2.0, 0, np.inf, -np.inf, [], None
+    for k in range(iterations):
+        score = gain - lam * price
+        squad, eleven = _inner(place, team, score, cap)
+        dual, primal, slack = score[eleven].sum() + lam * budget, gain[eleven].sum(), price[squad].sum() - budget
+        still = 0 if dual < best_dual else still + 1
+        best_dual = min(best_dual, dual)
+        if slack <= 0.01 and len(squad) == fixed.SQUAD_SIZE and primal > best_primal:
+            best_primal, kept = primal, (squad, eleven)
+        done = best_primal > -np.inf and (best_dual - best_primal) / max(abs(best_dual), 1e-6) < tol
+        rows.append((group["problem"].iloc[0], k, lam, dual, primal, slack, bool(done)))
+        if done:
+            break
+        if abs(slack) >= 1e-8:
+            lam = max(0.0, lam + theta * (dual - (best_primal if best_primal > -np.inf else 0.0)) / slack**2 * slack)
+        if still >= 5:
+            theta, still = theta * 0.95, 0
+    return rows, kept, best_primal, best_dual
+
+
+def _problems(candidates: DataFrame, cap: int) -> DataFrame:
+    return pruned(candidates, keep=cap).select(F.col("problem").cast("string").alias("problem"), F.col("player_id").cast("long").alias("player_id"), "position", F.col("team").cast("string").alias("team"), F.col("price_tenths").cast("int").alias("price_tenths"), F.col("score").cast("double").alias("score"), F.col("mean").cast("double").alias("mean"))
+
+
 def subgradient(candidates: DataFrame, *, budget: float = fixed.BUDGET, cap: int = fixed.CLUB_CAP, iterations: int = 100, tol: float = 0.01) -> DataFrame:
     """The budget priced into the score: a multiplier moved along the budget's excess, one row per step and problem.
 
@@ -288,31 +315,50 @@ def subgradient(candidates: DataFrame, *, budget: float = fixed.BUDGET, cap: int
     relative gap is below ``tol``. While no squad has met the budget, the target of a step is 0.
     """
 
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_descend(group.sort_values("player_id"), budget, cap, iterations, tol)[0], columns=[x.split()[0] for x in TRACE.split(", ")])
+
+    return _problems(candidates, cap).groupBy("problem").applyInPandas(run, TRACE)
+
+
+def lagrangian(candidates: DataFrame, *, budget: float = fixed.BUDGET, cap: int = fixed.CLUB_CAP, iterations: int = 100, tol: float = 0.01) -> DataFrame:
+    """The best squad within the budget that the multiplier's steps met, in the form of ``exact``: the bound is the best dual
+    value and ``exact`` says that the two meet. A problem whose steps met no such squad gives no rows."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("player_id")
-        place = group["position"].map(fixed.POSITIONS.index).to_numpy()
-        team, price, gain = group["team"].to_numpy(), group["price_tenths"].to_numpy() / 10, group["score"].to_numpy()
-        lam, theta, still, best_dual, best_primal, rows = 0.5, 2.0, 0, np.inf, -np.inf, []
-        for k in range(iterations):
-            score = gain - lam * price
-            squad, eleven = _inner(place, team, score, cap)
-            dual, primal, slack = score[eleven].sum() + lam * budget, gain[eleven].sum(), price[squad].sum() - budget
-            still = 0 if dual < best_dual else still + 1
-            best_dual = min(best_dual, dual)
-            if slack <= 0.01 and len(squad) == fixed.SQUAD_SIZE:
-                best_primal = max(best_primal, primal)
-            done = best_primal > -np.inf and (best_dual - best_primal) / max(abs(best_dual), 1e-6) < tol
-            rows.append((group["problem"].iloc[0], k, lam, dual, primal, slack, bool(done)))
-            if done:
-                break
-            if abs(slack) >= 1e-8:
-                lam = max(0.0, lam + theta * (dual - (best_primal if best_primal > -np.inf else 0.0)) / slack**2 * slack)
-            if still >= 5:
-                theta, still = theta * 0.95, 0
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in TRACE.split(", ")])
-
-    few = pruned(candidates, keep=cap).select(F.col("problem").cast("string").alias("problem"), "player_id", "position", F.col("team").cast("string").alias("team"), "price_tenths", F.col("score").cast("double").alias("score"))
-    return few.groupBy("problem").applyInPandas(run, TRACE)
+        columns = [x.split()[0] for x in OUT.split(", ")]
+        trace, kept, primal, dual = _descend(group, budget, cap, iterations, tol)
+        if kept is None or len(kept[1]) != fixed.LINEUP_SIZE:
+            return pd.DataFrame(columns=columns)
+        squad, eleven = (group.iloc[x] for x in kept)
+        starters = set(eleven["player_id"])
+        lines = eleven["position"].value_counts()
+        captain = min(zip(-eleven["mean"], eleven["player_id"]))[1]
+        rows = [(r.problem, r.player_id, r.position, "starter" if r.player_id in starters else "bench", r.player_id == captain, "-".join(str(lines.get(p, 0)) for p in ("DEF", "MID", "FWD")), primal, dual, trace[-1][2], dual - primal < 1e-9) for r in squad.itertuples()]
+        return pd.DataFrame(rows, columns=columns)
+
+    return _problems(candidates, cap).groupBy("problem").applyInPandas(run, OUT)
+
+
+def greedy_squad(candidates: DataFrame, *, budget: float = fixed.BUDGET, cap: int = fixed.CLUB_CAP) -> DataFrame:
+    """Greedy squads with their best formation by score, in the form of ``exact`` (without a bound or a price of money)."""
+    one = candidates.select(F.col("problem").cast("string").alias("problem"), F.col("player_id").cast("long").alias("player_id"), "position", "team", "price_tenths", F.col("score").cast("double").alias("score"), F.col("mean").cast("double").alias("mean"))
+    squads = ranked(greedy(one, budget=budget, cap=cap).join(one, ["problem", "player_id"])).join(best_formation(greedy(one, budget=budget, cap=cap).join(one, ["problem", "player_id"])), "problem")
+    lines = F.split("formation", "-")
+    most = F.when(F.col("position") == "GK", 1)
+    for i, p in enumerate(("DEF", "MID", "FWD")):
+        most = most.when(F.col("position") == p, lines[i].cast("int"))
+    out = squads.withColumn("role", F.when(F.col("rank") <= most, "starter").otherwise("bench"))
+    best = F.row_number().over(Window.partitionBy("problem", "role").orderBy(F.desc("mean"), "player_id"))
+    return out.select("problem", "player_id", "position", "role", ((F.col("role") == "starter") & (best == 1)).alias("is_captain"), "formation", F.col("total").alias("objective"), F.lit(None).cast("double").alias("bound"), F.lit(None).cast("double").alias("budget_price"), F.lit(False).alias("exact"))
+
+
+def vice_captain(chosen: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``chosen`` with is_vice: the starter with the second best mean (ties to the smaller id)."""
+    means = candidates.select(F.col("problem").cast("string").alias("problem"), F.col("player_id").cast("long").alias("player_id"), F.col("mean").alias("__mean"))
+    second = F.row_number().over(Window.partitionBy("problem", "role").orderBy(F.desc("__mean"), "player_id")) == 2
+    return chosen.join(means, ["problem", "player_id"]).withColumn("is_vice", (F.col("role") == "starter") & second).drop("__mean")
 
 
 def summary(chosen: DataFrame, candidates: DataFrame) -> DataFrame:

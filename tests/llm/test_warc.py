@@ -48,3 +48,18 @@ def test_odd_rows(spark):
     got = sorted(((r["page_id"] is None, r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.round_trip(spark, df.selectExpr("*", "1 as digest", "2 as holder")).collect()), key=str)
     assert got == sorted([(False, 1, "revisit", 5, 1000), (False, 2, "revisit", 5, 1000), (False, 5, "response", None, 1000), (False, 5, "response", None, 1000), (False, 3, "response", None, 999), (False, 4, "response", None, 999), (False, 6, "response", None, 0), (False, 7, "response", None, 0), (True, 0, "revisit", 5, 1000), (False, 8, "revisit", 9, 1000), (False, 9, "response", None, 1000), (False, 10, "response", None, 3_000_000)], key=str)
     assert warc.round_trip(spark, df.limit(0)).count() == 0
+
+
+def test_files_hold_plain_members_of_the_size_in_the_manifest(spark):
+    folder = scratch(spark, "warc")
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 200) for i in range(20)], "page_id long, url string, html string")
+    for path, size in warc.write(df, folder).select("path", "size").collect():
+        with open(path, "rb") as file:
+            raw = file.read()
+        assert len(raw) == size and gzip.decompress(raw).startswith(b"WARC/1.1")
+
+
+def test_a_file_shorter_than_its_manifest_says_is_an_error():
+    raw = warc.record(1, "u", "x" * 3000, None, "d")
+    with pytest.raises(EOFError):
+        list(warc.members(io.BytesIO(raw), 0, len(raw) + 10, len(raw) + 10))

@@ -82,7 +82,7 @@ def write(pages: DataFrame, folder: str, *, least_bytes: int = 1000) -> DataFram
             for page_id, url, html, refers_to, digest in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], pdf["digest"]):
                 if out is None:
                     store.create_dir(path, recursive=True)
-                    out = store.open_output_stream(name)
+                    out = store.open_output_stream(name, compression=None)  # the records are compressed already
                 size += out.write(record(None if page_id is None else int(page_id), url, html, None if refers_to is None else int(refers_to), digest))
         if out is not None:
             out.close()
@@ -104,7 +104,10 @@ def members(source, start: int, end: int, size: int) -> Iterator[tuple[int, byte
         if at >= size:
             return False
         source.seek(at)
-        held += source.read(min(CHUNK, size - at))
+        read = source.read(min(CHUNK, size - at))
+        if not read:
+            raise EOFError(f"the archive ends at byte {at} of {size}")
+        held += read
         return True
 
     while base < end:

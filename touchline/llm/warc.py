@@ -156,8 +156,9 @@ def parse(raw: bytes) -> dict:
     }
 
 
-def read(spark: SparkSession, archives: DataFrame, folder: str, *, split_bytes: int = 4 << 20, with_payload: bool = True) -> DataFrame:
-    """``archives`` has path and size. One row per record."""
+def read(spark: SparkSession, archives: DataFrame, folder: str, *, split_bytes: int = 4 << 20, with_payload: bool = True, most_tasks: int = 10_000) -> DataFrame:
+    """``archives`` has path and size. One row per record. Splits go to as many tasks as there are, ``most_tasks`` at most: their
+    number is given, as Spark would put so few bytes of paths into one task, whatever they stand for."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     splits = archives.withColumn("start", starts).withColumn("stop", F.least(F.col("start") + split_bytes, "size"))
     columns = [x.split()[0] for x in RECORD.split(", ")]
@@ -176,7 +177,8 @@ def read(spark: SparkSession, archives: DataFrame, folder: str, *, split_bytes:
                     if rows:
                         yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return splits.repartition("path", "start").mapInPandas(run, RECORD)
+    tasks = archives.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
+    return splits.repartition(min(int(tasks), most_tasks), "path", "start").mapInPandas(run, RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -111,3 +111,34 @@ def test_walk_forward(spark, small):
     points = got.collect()
     assert {r["strategy"] for r in points} == {"rolling", "semivar"} and all(r["points"] <= top[r["gameweek"]] for r in points)
     assert set(top) == {7, 8, 9} or set(top) <= {6, 7, 8, 9}
+
+
+def test_rolling_ridge_equals_a_plain_solution(weeks, tmp_path):
+    names = ["minutes", "xG", "bonus"]
+    gaps = weeks.withColumn("target", F.lead("points").over(ft.in_order()).cast("double")).withColumn("xG", F.when(F.col("gameweek") % 7 != 0, F.col("xG")))
+    folds = ft.folds(gaps, train=8, test=2, step=3)
+    got = {(r["player_id"], r["fold"], r["gameweek"]): r for r in regressors.rolling_ridge(folds, names).collect()}
+    expected = {}
+    for (player, fold), g in folds.toPandas().dropna(subset=names).groupby(["player_id", "fold"]):
+        train, test = g[(g["role"] == "train") & g["target"].notna()], g[g["role"] == "test"]
+        if len(train) < 5:
+            continue
+        x, y = train[names].to_numpy(float), train["target"].to_numpy(float)
+        wide = np.vstack([x - x.mean(0), np.eye(3)])
+        beta = np.linalg.lstsq(wide, np.append(y - y.mean(), np.zeros(3)), rcond=None)[0]
+        for r in test.itertuples():
+            expected[player, fold, r.gameweek] = ((np.array([r.minutes, r.xG, r.bonus], float) - x.mean(0)) @ beta + y.mean(), None if pd.isna(r.target) else r.target)
+    assert got.keys() == expected.keys() and got
+    for key, (said, actual) in expected.items():
+        assert got[key]["predicted"] == pytest.approx(said, abs=1e-6) and got[key]["actual"] == actual
+
+
+def test_models_come_back_from_disk(weeks, tmp_path):
+    rows = weeks.withColumn("target", F.lead("points").over(ft.in_order()).cast("double"))
+    for kind in ("ridge", "boosted"):
+        model = regressors.fit(rows.limit(40), ["minutes", "xG"], kind=kind)
+        for _ in range(2):
+            regressors.save(model, str(tmp_path / kind))
+        again = regressors.load(str(tmp_path / kind), kind=kind)
+        said = [sorted(tuple(r) for r in regressors.predict(m, rows, ["minutes", "xG"]).select("player_id", "gameweek", "predicted").collect()) for m in (model, again)]
+        assert said[0] == said[1] and said[0]

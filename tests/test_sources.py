@@ -110,3 +110,19 @@ def test_quality(spark):
     fill = lambda m: [r["a"] for r in quality.impute(df, ["a"], m).orderBy("player_id", "gameweek").collect()]
     assert fill("mean") == [1.0, 2.5, 4.0] and fill("median") == [1.0, 2.5, 4.0] and fill("zero") == [1.0, 0.0, 4.0] and fill("forward_fill") == [1.0, 1.0, 4.0] and fill("unheard of") == fill("mean")
     assert quality.impute(df.limit(0), ["a"]).count() == 0 and df.filter(F.col("a").isNull()).count() == 0
+
+
+def test_metadata_and_results_come_back(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("﻿id,first_name\n007,Ann\n8,\n", encoding="utf-8")
+    assert [tuple(r) for r in rd.player_metadata(spark, str(tmp_path / "p.csv")).orderBy("id").collect()] == [("007", "Ann"), ("8", None)]
+    rows = spark.createDataFrame([("a", {"mean": 1.5}), ("b", None)], "strategy string, told map<string,double>")
+    for _ in range(2):
+        rd.write_results(rows, str(tmp_path / "out"))
+    assert sorted(spark.read.schema(rows.schema).json(str(tmp_path / "out")).collect()) == sorted(rows.collect())
+
+
+def test_played_rows_or_all(spark):
+    df = spark.createDataFrame([(1, 1, 0), (1, 2, 9), (1, 3, 90), (2, 1, 0), (2, 2, 9), (3, 1, None)], "player_id long, gameweek long, minutes long")
+    assert sorted((r[0], r[1]) for r in gk.played(df).collect()) == [(1, 2), (1, 3), (2, 1), (2, 2), (3, 1)]
+    got = {(r[0], r[1]): r["x"] for r in df.select("*", gk.played_before("gameweek").alias("x")).collect()}
+    assert got == {(1, 1): [], (1, 2): [1.0], (1, 3): [1.0, 2.0], (2, 1): [], (2, 2): [1.0], (3, 1): []}

@@ -15,6 +15,19 @@ def in_order(player: str = "player_id", time: str = "gameweek") -> WindowSpec:
     return Window.partitionBy(player).orderBy(time)
 
 
+def played(rows: DataFrame, *, least: int = 2) -> DataFrame:
+    """Each player's rows with minutes; of a player with fewer than ``least`` such rows, all."""
+    on = F.coalesce(F.col("minutes") > 0, F.lit(False))
+    return rows.withColumn("__n", F.count(F.when(on, 1)).over(Window.partitionBy("player_id"))).filter(on | (F.col("__n") < least)).drop("__n")
+
+
+def played_before(value: str = "points", *, least: int = 2) -> Column:
+    """The values of the gameweeks before each in order, of those with minutes if these are ``least`` or more, else of all."""
+    past = F.collect_list(F.struct(F.col("minutes").alias("m"), F.col(value).cast("double").alias("v"))).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
+    on = F.filter(past, lambda r: r["m"] > 0)
+    return F.transform(F.when(F.size(on) >= least, on).otherwise(past), lambda r: r["v"])
+
+
 def per_gameweek(rows: DataFrame, *, order: str = "fixture_id") -> DataFrame:
     """Sums, means and last values over a player's fixtures of a gameweek, by fixed lists; other columns take the last value.
 

@@ -19,6 +19,12 @@ def inference_metrics(forecasts: DataFrame, by: list[str] = []) -> DataFrame:  #
     )
 
 
+def state_metrics(rows: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """``rows`` has mean and truth, state and true_state; squared error of the values and share of states that are right."""
+    e = F.col("mean") - F.col("truth")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg((F.col("state") == F.col("true_state")).cast("double")).alias("state_accuracy"))
+
+
 def ablation(forecasts: DataFrame, models: list[str]) -> DataFrame:
     """``forecasts`` has actual and one column per model; one row per model that has forecast every row."""
     long = forecasts.select("actual", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("p")) for m in models])).alias("x")).select("actual", "x.*")

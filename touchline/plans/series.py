@@ -12,7 +12,7 @@ from touchline.functions.fusion import scale_by_fixtures
 from touchline.operators import enriched as en
 from touchline.operators import features as ft
 from touchline.operators import gameweek as gk
-from touchline.operators import quality
+from touchline.operators import metrics, quality, regressors
 from touchline.sources import readers, tables
 
 from . import sql as S
@@ -316,3 +316,37 @@ f AS (SELECT DISTINCT player_id, n, unnest(range(0, 1 + CAST(floor((n - 12) / 3e
 SELECT n.player_id, n.gameweek, fold, CASE WHEN i < fold * 3 + 10 THEN 'train' ELSE 'test' END AS role FROM f JOIN n ON n.player_id = f.player_id AND i BETWEEN fold * 3 AND fold * 3 + 11""")
 def rolling_cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.folds(weekly(spark, sf_dir).select("player_id", "gameweek"), train=10, test=2, step=3).select("player_id", "gameweek", F.col("fold").cast("long").alias("fold"), "role")
+
+
+@query(f"WITH {S.GW}, n AS (SELECT *, count(*) FILTER (minutes > 0) OVER (PARTITION BY player_id) AS n FROM gw) SELECT player_id, gameweek, points, minutes FROM n WHERE minutes > 0 OR n < 2")
+def played_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gk.played(weekly(spark, sf_dir)).select("player_id", "gameweek", "points", "minutes")
+
+
+@query(f"""WITH {S.GW}, h AS (SELECT player_id, gameweek, coalesce(list(CAST(points AS DOUBLE)) OVER w, []) AS a, coalesce(list(CAST(points AS DOUBLE)) FILTER (minutes > 0) OVER w, []) AS p FROM gw WINDOW w AS (PARTITION BY player_id ORDER BY gameweek ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+u AS (SELECT player_id, gameweek, CASE WHEN len(p) >= 2 THEN p ELSE a END AS u FROM h)
+SELECT player_id, gameweek, round(coalesce(list_avg(u[-5:]), 0) + 1e-9, 6) AS mean FROM u""")
+def played_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of the last five gameweeks played before each."""
+    rows = weekly(spark, sf_dir).select("player_id", "gameweek", gk.played_before().alias("past"))
+    last = F.slice("past", F.greatest(F.lit(1), F.size("past") - 4), 5)
+    mean = F.when(F.size(last) > 0, F.aggregate(last, F.lit(0.0), lambda a, b: a + b) / F.size(last)).otherwise(0.0)
+    return steady(rows.select("player_id", "gameweek", mean.alias("mean")), ["mean"])
+
+
+@query(f"""WITH {S.GW}, b AS (SELECT points, coalesce(avg(points) OVER (PARTITION BY player_id ORDER BY gameweek ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS mean FROM gw)
+SELECT count(*) AS n, round(avg((mean - points) ** 2) + 1e-9, 6) AS mse, round(avg(CAST(least(4, floor(mean / 2)) = least(4, floor(points / 2e0)) AS DOUBLE)) + 1e-9, 6) AS state_accuracy FROM b""")
+def state_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the rolling baseline tells points, and their state of five by steps of two points."""
+    state = lambda c: F.least(F.lit(4), F.floor(F.col(c) / 2))
+    rows = weekly(spark, sf_dir).select(F.col("points").alias("truth"), ft.rolling_baseline().alias("mean"))
+    return steady(metrics.state_metrics(rows.withColumns({"state": state("mean"), "true_state": state("truth")})), ["mse", "state_accuracy"])
+
+
+@query(f"""WITH {S.GW}, b AS (SELECT points, coalesce(avg(points) OVER w, 0) AS mean, row_number() OVER (PARTITION BY player_id ORDER BY gameweek) - 13 AS fold FROM gw WINDOW w AS (PARTITION BY player_id ORDER BY gameweek ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+SELECT fold, count(*) AS n, round(sqrt(avg((mean - points) ** 2)) + 1e-9, 6) AS rmse, round(avg(abs(mean - points)) + 1e-9, 6) AS mae FROM b WHERE fold >= 0 GROUP BY fold""")
+def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rolling baseline's errors by fold."""
+    rows = weekly(spark, sf_dir).select("player_id", "gameweek", F.col("points").alias("actual"), ft.rolling_baseline().alias("predicted"))
+    tests = ft.folds(rows, train=12, test=1, step=1).filter("role = 'test'")
+    return steady(regressors.fold_metrics(tests.withColumn("fold", F.col("fold").cast("long"))), ["rmse", "mae"])

@@ -73,6 +73,12 @@ def season_rows(spark: SparkSession, paths: str | list[str], season: str) -> Dat
     return out.withColumn("gameweek", F.col("gameweek").cast("long")).filter("player_id is not null and gameweek is not null")
 
 
+def player_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """A season's table of players as it stands: every column as text, a byte-order mark before the first name dropped."""
+    raw = spark.read.csv(paths, header=True, encoding="UTF-8")
+    return raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
+
+
 def write_season(rows: DataFrame, path: str) -> None:
     """As Parquet by season and gameweek: a scan of one gameweek reads its folder alone. Gameweeks that are written again replace the old ones."""
     rows.repartition("season", "gameweek").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season", "gameweek").parquet(path)
@@ -142,6 +148,11 @@ def read_news(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{NEWS}, gameweek int").json(path)
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """Results as JSON, a line for each row, nested as they are and with their nulls; results there before are replaced."""
+    results.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def season_totals(rows: DataFrame, most: int) -> DataFrame:
     """The ``most`` players with the most points of a season, ties to the smaller id."""
     total = rows.groupBy("player_id").agg(F.sum("points").alias("total_points"))

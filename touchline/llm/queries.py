@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bm25, html_template, langid, mixture, packing, secrets, simhash, toxicity, warc
+from . import ann, bm25, collocations, decontaminate, html_template, langid, mixture, packing, periodic, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -55,6 +55,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), plant=periodic.planted)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_html_text, op2_mixture, op3_warc, op4_bm25, op5_ann, op6_secrets, op7_toxicity, op8_packing, op9_simhash, op10_langid, pipeline]
+    every = [op1_html_text, op2_mixture, op3_warc, op4_bm25, op5_ann, op6_secrets, op7_toxicity, op8_packing, op9_simhash, op10_langid, op11_collocations, op12_periodic_runs, op13_decontamination, pipeline]
     return {f.__name__: f for f in every}
 
 
@@ -128,6 +140,40 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 FROM scored QUALIFY rank <= 10
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+COLLOCATIONS_SQL = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+placed AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM placed GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k >= 2),
+cut AS (SELECT c.*, unnest(range(1, size)) AS k FROM cand c),
+scored AS (SELECT c.lang, c.size, c.phrase, c.w, c.a, c.k, x.f AS l, y.f AS r, t.n, CAST((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN total t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+sub AS (SELECT lang, a, w, m, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM cand WHERE size > 2)),
+inner_ AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM sub GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, b.n, b.score
+FROM best b LEFT JOIN inner_ s ON s.lang = b.lang AND s.phrase = b.phrase WHERE s.longer IS NULL OR 100 * s.longer < 100 * b.a
+QUALIFY rank <= 2000
+"""
+
+_TOKENS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+DECONTAMINATION_SQL = f"""
+WITH items AS (SELECT item_id, {_TOKENS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT row_number() OVER () AS rn, doc_id, {_TOKENS} AS w FROM documents),
+sizes AS (SELECT DISTINCT k FROM windows),
+placed AS (SELECT rn, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM docs, sizes WHERE len(w) >= k),
+met AS (SELECT p.rn, p.i, p.k, x.item_id FROM (SELECT rn, i, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM placed) p JOIN windows x USING (k, phrase)),
+hit AS (SELECT rn, count(DISTINCT pos) AS n_hit FROM (SELECT rn, unnest(range(i, i + k)) AS pos FROM (SELECT DISTINCT rn, i, k FROM met)) GROUP BY rn),
+named AS (SELECT rn, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT rn, CAST(item_id AS VARCHAR) AS name FROM met WHERE item_id IS NOT NULL) GROUP BY rn)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (rn) LEFT JOIN named USING (rn)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixture": MIXTURE_SQL, "op3_warc": WARC_SQL, "op4_bm25": BM25_SQL, "op6_secrets": SECRETS_SQL}
+    return {"op2_mixture": MIXTURE_SQL, "op3_warc": WARC_SQL, "op4_bm25": BM25_SQL, "op6_secrets": SECRETS_SQL, "op11_collocations": COLLOCATIONS_SQL, "op13_decontamination": DECONTAMINATION_SQL}

@@ -71,13 +71,20 @@ def test_pruning_keeps_the_optimum(spark):
     few = sq.pruned(many)
     assert few.groupBy("problem", "position", "team", "price_tenths").count().agg(F.max("count")).first()[0] == 3
     found = sq.exact(many, budget=BUDGET).select("objective", "exact").first()
-    assert found["exact"] and found["objective"] == pytest.approx(sq.choose(many.toPandas(), budget=920, cap=3, most_nodes=400)[0])
+    assert found["exact"] and found["objective"] == pytest.approx(sq.choose(many.toPandas(), budget=920, cap=3, most_nodes=400).objective)
 
 
-def test_a_search_cut_short_still_gives_a_legal_squad(spark, pools):
-    got = sq.exact(pools, budget=BUDGET, most_nodes=1)
-    assert sq.validate(got.join(pools, ["problem", "player_id", "position"]), budget=BUDGET).filter("not (quota_ok and formation_ok and budget_ok and club_ok)").count() == 0
-    assert got.filter("not exact").count() > 0
+@pytest.mark.parametrize("most_nodes", [1, 3])
+def test_a_search_handed_on_as_a_table_ends_with_the_same_squads(spark, pools, most_nodes):
+    hard = [r for seed in (0, 5, 7, 8) for r in pool(seed, clubs=6, sizes=(5, 12, 12, 8))]
+    left = [len(sq.choose(pd.DataFrame([r for r in hard if r[0] == str(seed)], columns=sq.CANDIDATE), budget=800, cap=3, most_nodes=1).open) for seed in (0, 5, 7, 8)]
+    assert all(left)
+    df = spark.createDataFrame(hard, SCHEMA)
+    got = sq.exact(df, budget=80.0, most_nodes=most_nodes)
+    rules = sq.validate(got.join(df, ["problem", "player_id", "position"]), budget=80.0).toPandas()
+    assert len(rules) == 4 and rules[["quota_ok", "formation_ok", "budget_ok", "club_ok"]].all(axis=None)
+    best = {r["problem"]: r["objective"] for r in sq.exact(df, budget=80.0).select("problem", "objective").distinct().collect()}
+    assert {r["problem"]: r["objective"] for r in got.select("problem", "objective").distinct().collect()} == pytest.approx(best) and got.filter("not exact").count() == 0
 
 
 def plain_greedy(rows, budget):
@@ -117,8 +124,8 @@ def test_price_of_money_is_the_slope_of_the_hull():
     free = group.assign(team=[f"t{i}" for i in range(len(group))])
     at = lambda b: sq.choose(free, budget=b, cap=3, most_nodes=50)
     found = at(900)
-    values = {b: x[0] for b in range(780, 961, 4) if (x := at(b))}
-    assert all(v <= found[4] + found[5] * (b - 900) / 10 + 1e-6 for b, v in values.items())
+    values = {b: x.objective for b in range(780, 961, 4) if (x := at(b))}
+    assert all(v <= found.bound + found.price * (b - 900) / 10 + 1e-6 for b, v in values.items())
 
 
 def test_an_impossible_pool_gives_no_squad(spark):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 
 from touchline import fixed
 
+from . import relaxation
+from .lineage import written
+from .relaxation import Pool
+
 CANDIDATE = ["problem", "player_id", "position", "team", "price_tenths", "score", "mean"]
 OUT = "problem string, player_id long, position string, role string, is_captain boolean, formation string, objective double, bound double, budget_price double, exact boolean"
 
@@ -112,16 +117,16 @@ def lineup(squads: DataFrame, *, formation: str = "4-4-2", by: str = "mean") ->
 # -- exact choice ------------------------------------------------------------------------------------------------------
 
 
-def _one_position(price: np.ndarray, score: np.ndarray, quota: int, most: int, forced: np.ndarray, budget: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """best[l, b, c]: the largest score of l starters and b others that cost c together; and each player's part in it."""
+def _one_position(price: np.ndarray, score: np.ndarray, toll: np.ndarray, quota: int, most: int, forced: np.ndarray, budget: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """best[l, b, c]: the largest score of l starters and b others that cost c together, less everyone's toll; and each player's part in it."""
     best = np.full((most + 1, quota + 1, budget + 1), -np.inf)
     best[0, 0, 0] = 0.0
     parts = []
-    for p, s, must in zip(price, score, forced):
+    for p, s, t, must in zip(price, score, toll, forced):
         new = np.full_like(best, -np.inf) if must else best.copy()
         part = np.zeros(best.shape, np.int8)
         if p <= budget:
-            for kind, from_, gain in ((2, best[:, :-1, : budget + 1 - p], 0.0), (1, best[:-1, :, : budget + 1 - p], s)):
+            for kind, from_, gain in ((2, best[:, :-1, : budget + 1 - p], -t), (1, best[:-1, :, : budget + 1 - p], s - t)):
                 to = (slice(None), slice(1, None), slice(p, None)) if kind == 2 else (slice(1, None), slice(None), slice(p, None))
                 better = from_ + gain > new[to]
                 new[to] = np.where(better, from_ + gain, new[to])
@@ -141,119 +146,193 @@ def _join(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def _relaxed(group: pd.DataFrame, forced: set[int], limit: int, beyond: int = 0) -> tuple[float, list[int], list[int], str, np.ndarray] | None:
-    """The best squad without club limits: objective, starters, others, formation, and the best objective by cost, up to ``beyond`` above the limit."""
-    tables, found, budget = {}, None, limit + beyond
-    for p in fixed.POSITIONS:
-        part = group[group["position"] == p]
-        ids = part["player_id"].tolist()
-        best, parts = _one_position(part["price_tenths"].to_numpy(), part["score"].to_numpy(), fixed.SQUAD_QUOTA[p] - fixed.LINEUP_LEAST[p], fixed.LINEUP_MOST[p], np.array([i in forced for i in ids], bool), budget)
-        tables[p] = (ids, part["price_tenths"].to_numpy(), best, parts)
-    row = lambda p, n: tables[p][2][n, fixed.SQUAD_QUOTA[p] - n]
-    curve = np.full(budget + 1, -np.inf)
-    ends = {f: _join(row("GK", 1), row("FWD", f)) for f in (1, 2, 3)}
-    for d in range(3, 6):
-        for m in range(2, 6):
-            f = 10 - d - m
-            if f not in ends:
-                continue
-            middle, at_d = _join(row("DEF", d), row("MID", m))
-            whole, at_mid = _join(middle, ends[f][0])
-            curve = np.maximum(curve, whole)
-            c = int(np.argmax(whole[: limit + 1]))
-            if whole[c] > -np.inf and (found is None or whole[c] > found[0] + 1e-9):
-                cm = int(at_mid[c])
-                ce = c - cm
-                cost = {"DEF": (d, int(at_d[cm])), "MID": (m, cm - int(at_d[cm])), "GK": (1, int(ends[f][1][ce])), "FWD": (f, ce - int(ends[f][1][ce]))}
-                found = (float(whole[c]), cost, f"{d}-{m}-{f}")
+def _within(pool: Pool, keep: np.ndarray, forced: np.ndarray, budget: int, toll: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
+    """The best squad within the budget, without club limits but with a toll for each player: value, starters, others. Of the players that
+    ``keep`` tells, and with all of the ``forced`` ones."""
+    tables, found = [], None
+    for k, p in enumerate(fixed.POSITIONS):
+        own = np.flatnonzero((pool.place == k) & keep)
+        best, parts = _one_position(pool.price[own], pool.score[own], toll[own], fixed.SQUAD_QUOTA[p] - fixed.LINEUP_LEAST[p], fixed.LINEUP_MOST[p], forced[own], budget)
+        tables.append((own, best, parts))
+    row = lambda k, n: tables[k][1][n, fixed.SQUAD_QUOTA[fixed.POSITIONS[k]] - n]
+    ends = {f: _join(row(0, 1), row(3, f)) for f in {w[3] for w in relaxation.WAYS}}
+    for _, d, m, f in relaxation.WAYS:
+        middle, at_d = _join(row(1, d), row(2, m))
+        whole, at_mid = _join(middle, ends[f][0])
+        c = int(np.argmax(whole))
+        if whole[c] > -np.inf and (found is None or whole[c] > found[0] + 1e-9):
+            cm = int(at_mid[c])
+            ce = c - cm
+            found = (float(whole[c]), [(1, int(ends[f][1][ce])), (d, int(at_d[cm])), (m, cm - int(at_d[cm])), (f, ce - int(ends[f][1][ce]))])
     if found is None:
         return None
     starters, others = [], []
-    for p, (n, c) in found[1].items():
-        ids, prices, _, parts = tables[p]
-        b = fixed.SQUAD_QUOTA[p] - n
-        for i in range(len(ids) - 1, -1, -1):
+    for (own, _, parts), quota, (n, c) in zip(tables, relaxation.QUOTA, found[1]):
+        b = quota - n
+        for i in range(len(own) - 1, -1, -1):
             kind = parts[i][n, b, c]
             if kind:
-                (starters if kind == 1 else others).append(ids[i])
-                n, b, c = n - (kind == 1), b - (kind == 2), c - int(prices[i])
-    return found[0], starters, others, found[2], curve
-
-
-def _hull(curve: np.ndarray, budget: int) -> tuple[float, float]:
-    """Height and slope (for one unit of money) at ``budget`` of the concave hull over objective by cost."""
-    xs = np.flatnonzero(curve > -np.inf)
-    hull: list[tuple[int, float]] = []
-    for x, y in zip(xs.tolist(), np.maximum.accumulate(curve[xs]).tolist()):
-        while len(hull) > 1 and (hull[-1][1] - hull[-2][1]) * (x - hull[-2][0]) <= (y - hull[-2][1]) * (hull[-1][0] - hull[-2][0]):
-            hull.pop()
-        hull.append((x, y))
-    for (x0, y0), (x1, y1) in zip(hull, hull[1:]):
-        if x0 <= budget <= x1:
-            slope = (y1 - y0) / (x1 - x0)
-            return y0 + slope * (budget - x0), 10 * slope
-    return hull[-1][1], 0.0
-
-
-def _club_over(team: dict, chosen: list[int], cap: int) -> list[int] | None:
-    clubs: dict = {}
-    for x in sorted(chosen):
-        clubs.setdefault(team[x], []).append(x)
-    return next((v for _, v in sorted(clubs.items(), key=lambda kv: str(kv[0])) if len(v) > cap), None)
-
-
-def choose(group: pd.DataFrame, *, budget: int, cap: int, most_nodes: int) -> tuple | None:
-    """The best squad, best first over which players of a club that exceeds its limit stay. ``budget`` in tenths.
-
-    Gives objective, starters, others, formation, the relaxed bound, the price of money there and whether the result is proven
-    best. The relaxed curve runs somewhat beyond the budget, so that its hull is known on both sides of it.
-    """
-    team = dict(zip(group["player_id"], group["team"]))
-    root = _relaxed(group, set(), budget, 60)
-    if root is None:
-        return None
-    bound, price = _hull(root[4], budget)
-    todo, n = [(-root[0], 0, root, frozenset(), frozenset())], 0
-    while todo:
-        if n >= most_nodes:  # no more time for a proof: go on from the most decided
-            todo.sort(key=lambda x: (-len(x[3]) - len(x[4]), x[0], x[1]))
-        _, _, found, forced, banned = todo.pop(0) if n >= most_nodes else heapq.heappop(todo)
-        objective, starters, others, formation, _ = found
-        over = _club_over(team, starters + others, cap)
-        if over is None:
-            return objective, starters, others, formation, bound, price, n < most_nodes or all(-x[0] <= objective for x in todo)
+                (starters if kind == 1 else others).append(own[i])
+                n, b, c = n - (kind == 1), b - (kind == 2), c - int(pool.price[own[i]])
+    return found[0], np.array(starters, int), np.array(others, int)
+
+
+EVEN = 1e-9
+Node = tuple[frozenset, frozenset]  # ids that must be in the squad, ids that must not
+
+
+@dataclass
+class Found:
+    """A search's best squad (none if ``objective`` is not above the floor it began with) and the nodes that it left."""
+
+    objective: float
+    starters: list[int]
+    others: list[int]
+    formation: str
+    bound: float
+    price: float
+    open: list[Node]
+
+
+def _search(pool: Pool, nodes: list[Node], floor: float, *, tolls: np.ndarray, budget: int, cap: int, most_nodes: int) -> tuple[float, tuple | None, list[Node]]:
+    """Best first over which players of a club that exceeds its limit stay. A node's bound is the lesser of the best squad without club
+    limits and the one that pays the clubs' ``tolls`` and gets them back for a full club."""
+    best, heap, n = None, [], 0
+    toll, back = tolls[pool.club], cap * float(tolls.sum())
+    free = np.zeros(len(pool.ids))
+    clubs_of = lambda squad: np.bincount(pool.club[squad], minlength=len(pool.clubs))
+
+    def visit(forced: frozenset, banned: frozenset) -> None:
+        nonlocal best, floor, n
+        n += 1
+        must = np.isin(pool.ids, list(forced))
+        if must.sum() < len(forced):
+            return  # a forced player can be in no better squad
+        keep, bound = ~np.isin(pool.ids, list(banned)), np.inf
+        if back > 0:
+            found = _within(pool, keep, must, budget, toll)
+            if found is None:
+                return
+            bound = found[0] + back
+            value = float(pool.score[found[1]].sum())
+            if value > floor + EVEN and clubs_of(np.concatenate(found[1:])).max() <= cap:
+                best, floor = found[1:], value
+            if bound <= floor + EVEN:
+                return
+        found = _within(pool, keep, must, budget, free)
+        if found is None or found[0] <= floor + EVEN:
+            return
+        squad = np.concatenate(found[1:])
+        count = clubs_of(squad)
+        if count.max() <= cap:
+            best, floor = found[1:], found[0]
+            return
+        over = sorted(pool.ids[squad[pool.club[squad] == int(np.argmax(count > cap))]].tolist())
+        heapq.heappush(heap, (-min(bound, found[0]), n, forced, banned, over))
+
+    for node in nodes:
+        visit(*node)
+    n = 0  # only the nodes below those given count, so every round gets on
+    while heap and (n < most_nodes or -heap[0][0] <= floor + EVEN):
+        bound, _, forced, banned, over = heapq.heappop(heap)
+        if -bound <= floor + EVEN:
+            return floor, best, []
         over = [x for x in over if x in forced] + [x for x in over if x not in forced]
-        club = {p for p, t in team.items() if t == team[over[0]]}
-        children = [(forced | set(over[:i]), banned | {over[i]}) for i in range(cap) if over[i] not in forced]
-        children.append((forced | set(over[:cap]), banned | (club - set(over[:cap]))))
-        for keep, drop in children:
-            n += 1
-            if (below := _relaxed(group[~group["player_id"].isin(drop)], set(keep), budget)) is not None:
-                heapq.heappush(todo, (-below[0], n, below, frozenset(keep), frozenset(drop)))
-    return None
-
-
-def exact(candidates: DataFrame, *, budget: float = fixed.BUDGET, cap: int = fixed.CLUB_CAP, most_nodes: int = 400) -> DataFrame:
-    """The best squad of every problem. Problems without a legal squad give no rows.
-
-    One row per chosen player: role, captain (best mean, ties to the smaller id), formation, objective, the bound of the
-    relaxation (club limits and whole players given up), the price of one more unit of money there, and whether the search
-    ended by proof (``exact``; after ``most_nodes`` nodes the first legal squad is taken, and the bound says how far off it can be).
-    """
-    tenths = round(budget * 10)
+        club = set(pool.ids[pool.club == pool.club[pool.ids == over[0]][0]].tolist())
+        for i in range(cap):
+            if over[i] not in forced:
+                visit(forced | set(over[:i]), banned | {over[i]})
+        visit(forced | set(over[:cap]), banned | (club - set(over[:cap])))
+    return floor, best, [(x[2], x[3]) for x in heap if -x[0] > floor + EVEN]
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        found = choose(group.sort_values(["position", "player_id"]), budget=tenths, cap=cap, most_nodes=most_nodes)
-        columns = [x.split()[0] for x in OUT.split(", ")]
-        if found is None:
-            return pd.DataFrame(columns=columns)
-        objective, starters, others, formation, bound, price, proven = found
+
+def choose(group: pd.DataFrame, *, budget: int, cap: int, most_nodes: int, nodes: list[Node] | None = None, floor: float = -np.inf) -> Found | None:
+    """The best squad of one problem, or of some ``nodes`` of its search, if better than ``floor``. ``budget`` in tenths.
+
+    The relaxation comes first: its club prices bound the nodes, and a player whose place would cost the bound more than a first good
+    squad leaves over can be in no better one, so few players are left. None if no squad is legal.
+    """
+    pool = Pool.of(group)
+    relaxed = relaxation.solve(pool, budget=budget, cap=cap)
+    if relaxed is None:
+        return None
+    short = np.maximum(0.0, -relaxed.worth(pool))
+    how = dict(tolls=relaxed.clubs, budget=budget, cap=cap, most_nodes=most_nodes)
+    best = None
+    whole = lambda part, x: x and (part.ids[x[0]], part.ids[x[1]])
+    if nodes is None:
+        likely = np.zeros(len(pool.ids), bool)
+        for k, quota in enumerate(relaxation.QUOTA):
+            own = pool.rows(k)
+            likely[own[np.argsort(short[own], kind="stable")[: 3 * quota]]] = True
+        few = pool.only(likely)
+        floor, found, _ = _search(few, [(frozenset(), frozenset())], floor, **how)
+        best = whole(few, found)
+    few = pool.only(relaxed.objective - short >= floor - 1e-7)
+    known = set(few.ids.tolist())
+    begin = [(f, b & known) for f, b in nodes or [(frozenset(), frozenset())]]
+    floor, found, left = _search(few, begin, floor, **how)
+    best = whole(few, found) or best
+    starters, others = (x.tolist() for x in best) if best else ([], [])
+    lines = Counter(pool.place[np.isin(pool.ids, starters)].tolist())
+    return Found(floor, sorted(starters), sorted(others), "-".join(str(lines[k]) for k in (1, 2, 3)), relaxed.objective, 10 * relaxed.money, left)
+
+
+ROUND = f"{OUT}, node long, forced array<long>, banned array<long>"
+NAMES = [x.split()[0] for x in OUT.split(", ")]
+
+
+def _solved(group: pd.DataFrame, found: Found | None, node: int) -> pd.DataFrame:
+    """Rows of the chosen squad, and a row without a player for each node that is left."""
+    rows: list[tuple] = []
+    if found is not None and found.starters:
         mean, at = dict(zip(group["player_id"], group["mean"])), dict(zip(group["player_id"], group["position"]))
-        captain = min(starters, key=lambda x: (-mean[x], x))
-        rows = [(group["problem"].iloc[0], x, at[x], role, x == captain, formation, objective, bound, price, proven) for role, xs in (("starter", starters), ("bench", others)) for x in sorted(xs)]
-        return pd.DataFrame(rows, columns=columns)
+        captain = min(found.starters, key=lambda x: (-mean[x], x))
+        rows = [(group["problem"].iloc[0], x, at[x], role, x == captain, found.formation, found.objective, found.bound, found.price, True, node, None, None) for role, xs in (("starter", found.starters), ("bench", found.others)) for x in xs]
+    for forced, banned in found.open if found is not None else []:
+        rows.append((group["problem"].iloc[0], None, None, None, None, None, found.objective if np.isfinite(found.objective) else None, None, None, None, node, sorted(forced), sorted(banned)))
+    out = pd.DataFrame(rows, columns=[*NAMES, "node", "forced", "banned"], dtype=object)
+    return out.astype({"player_id": "Int64", "node": "Int64", "is_captain": "boolean", "exact": "boolean", "objective": float, "bound": float, "budget_price": float})
+
 
-    return _problems(candidates, cap).groupBy("problem").applyInPandas(solve, OUT)
+def exact(candidates: DataFrame, *, budget: float = fixed.BUDGET, cap: int = fixed.CLUB_CAP, most_nodes: int = 2_000) -> DataFrame:
+    """The best squad of every problem, proven. Problems without a legal squad give no rows.
+
+    One row per chosen player: role, captain (best mean, ties to the smaller id), formation, objective, the bound of the linear
+    relaxation and its price of one more unit of money; ``exact`` is always true.
+
+    Each problem is one task's work at first. A search that has not ended after ``most_nodes`` nodes hands the rest of them on as a
+    table; in the next round every one of them is a task of its own, and the best squad of its problem so far cuts it short.
+    """
+    tenths = round(budget * 10)
+    pools = problems(candidates, cap)
+
+    def first(group: pd.DataFrame) -> pd.DataFrame:
+        return _solved(group, choose(group, budget=tenths, cap=cap, most_nodes=most_nodes), 0)
+
+    def next_(nodes: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        if not len(nodes) or not len(group):
+            return _solved(group, None, 0)
+        begin = [(frozenset(int(x) for x in f), frozenset(int(x) for x in b)) for f, b in zip(nodes["forced"], nodes["banned"])]
+        floor = nodes["floor"].max()
+        return _solved(group, choose(group, budget=tenths, cap=cap, most_nodes=most_nodes, nodes=begin, floor=-np.inf if pd.isna(floor) else float(floor)), int(nodes["node"].iloc[0]))
+
+    found = written(pools.groupBy("problem").applyInPandas(first, ROUND))
+    chosen = found.filter("player_id is not null").withColumn("round", F.lit(0))
+    n = 0
+    while found.filter("player_id is null").limit(1).count():
+        n += 1
+        best = chosen.groupBy("problem").agg(F.max("objective").alias("floor"))
+        nodes = found.filter("player_id is null").select("problem", "forced", "banned").join(best, "problem", "left").withColumn("node", F.monotonically_increasing_id())
+        nodes = written(nodes)
+        of = pools.join(nodes.select("problem", F.col("node").alias("of_node")), "problem")
+        found = written(nodes.groupBy("problem", "node").cogroup(of.groupBy("problem", "of_node")).applyInPandas(next_, ROUND))
+        chosen = chosen.unionByName(found.filter("player_id is not null").withColumn("round", F.lit(n)))
+    if not n:
+        return chosen.select(*NAMES)
+    # of a problem's squads the best one, and of equal ones the first
+    top = chosen.groupBy("problem").agg(F.min(F.struct((-F.col("objective")).alias("o"), "round", "node")).alias("top")).select("problem", F.col("top.round").alias("round"), F.col("top.node").alias("node"))
+    return chosen.join(top, ["problem", "round", "node"], "left_semi").select(*NAMES)
 
 
 TRACE = "problem string, step int, multiplier double, dual double, primal double, slack double, converged boolean"
@@ -304,7 +383,8 @@ def _descend(group: pd.DataFrame, budget: float, cap: int, iterations: int, tol:
     return rows, kept, best_primal, best_dual
 
 
-def _problems(candidates: DataFrame, cap: int) -> DataFrame:
+def problems(candidates: DataFrame, cap: int = fixed.CLUB_CAP) -> DataFrame:
+    """The candidates that matter, as the solvers take them."""
     return pruned(candidates, keep=cap).select(F.col("problem").cast("string").alias("problem"), F.col("player_id").cast("long").alias("player_id"), "position", F.col("team").cast("string").alias("team"), F.col("price_tenths").cast("int").alias("price_tenths"), F.col("score").cast("double").alias("score"), F.col("mean").cast("double").alias("mean"))
 
 
@@ -318,7 +398,7 @@ def subgradient(candidates: DataFrame, *, budget: float = fixed.BUDGET, cap: int
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_descend(group.sort_values("player_id"), budget, cap, iterations, tol)[0], columns=[x.split()[0] for x in TRACE.split(", ")])
 
-    return _problems(candidates, cap).groupBy("problem").applyInPandas(run, TRACE)
+    return problems(candidates, cap).groupBy("problem").applyInPandas(run, TRACE)
 
 
 def lagrangian(candidates: DataFrame, *, budget: float = fixed.BUDGET, cap: int = fixed.CLUB_CAP, iterations: int = 100, tol: float = 0.01) -> DataFrame:
@@ -338,7 +418,7 @@ def lagrangian(candidates: DataFrame, *, budget: float = fixed.BUDGET, cap: int
         rows = [(r.problem, r.player_id, r.position, "starter" if r.player_id in starters else "bench", r.player_id == captain, "-".join(str(lines.get(p, 0)) for p in ("DEF", "MID", "FWD")), primal, dual, trace[-1][2], dual - primal < 1e-9) for r in squad.itertuples()]
         return pd.DataFrame(rows, columns=columns)
 
-    return _problems(candidates, cap).groupBy("problem").applyInPandas(run, OUT)
+    return problems(candidates, cap).groupBy("problem").applyInPandas(run, OUT)
 
 
 def greedy_squad(candidates: DataFrame, *, budget: float = fixed.BUDGET, cap: int = fixed.CLUB_CAP) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from touchline import fixed
 from touchline.operators import enriched as en
 from touchline.operators import gameweek as gk
-from touchline.operators import metrics
+from touchline.operators import metrics, relaxation
 from touchline.operators import squad as sq
+from touchline.operators.lineage import written
 
 from . import sql as S
 from .inference import forecasts
@@ -105,11 +106,34 @@ def semivariance_squad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def relaxation_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relaxed bound, the price of money and the gap of the whole solution, per gameweek."""
+    """The bound of the linear relaxation, its price of money and the gap of the best whole squad, per gameweek."""
     x = sq.exact(structural(spark, sf_dir), budget=TIGHT).select("problem", "objective", "bound", "budget_price", "exact").distinct()
     return x.withColumn("gap", F.coalesce(F.try_divide(F.col("bound") - F.col("objective"), F.abs("bound")), F.lit(0.0)))
 
 
+def _relaxed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = structural(spark, sf_dir)
+    solved = written(relaxation.levels(sq.problems(c), budget=TIGHT))
+    return c, solved, relaxation.player_prices(c, solved)
+
+
+@query()
+def lp_duals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price and slack of every constraint of each gameweek's relaxation, and which of them bind."""
+    _, solved, prices = _relaxed(spark, sf_dir)
+    return relaxation.constraints(solved, prices, budget=TIGHT)
+
+
+@query()
+def lp_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each gameweek what proves the relaxation, how many constraints bind, and how far the best whole squad stays below it."""
+    c, solved, prices = _relaxed(spark, sf_dir)
+    binding = relaxation.constraints(solved, prices, budget=TIGHT).groupBy("problem").agg(F.count_if("binding").alias("n_binding"))
+    whole = sq.exact(c, budget=TIGHT).select("problem", F.col("objective").alias("whole")).distinct()
+    proof = relaxation.certificate(solved, prices, budget=TIGHT)
+    return proof.join(binding, "problem").join(whole, "problem", "left").withColumn("gap", F.when(F.col("objective") > 0, (F.col("objective") - F.col("whole")) / F.col("objective")).otherwise(0.0))
+
+
 @query()
 def lagrangian_squad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.subgradient(structural(spark, sf_dir), budget=TIGHT)

@@ -118,3 +118,16 @@ def test_footrule_of_lists():
     files = ann.Files(np.arange(3), np.array([[4.0, 3, 2, 1], [1.0, 2, 3, 4], [4.0, 3, 1, 2]]), pivots, 2)
     near = ann.places(np.array([[4.0, 3, 2, 1]]), pivots, 2)
     assert near[0].tolist() == [0, 1] and files.candidates(near[0], 2).tolist() == [0, 2]
+
+
+def test_huge_and_tiny_vectors_and_repeated_queries(spark):
+    import math
+
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1e200, 1e199]), (2, [1e-200, -1e-200]), (3, [3.0, 4.0]), (4, [1.7e308, 1.7e308]), (5, [5e-324, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(df, df.filter("vec_id = 0"), k=4).collect()
+    assert all(math.isfinite(r["score"]) and abs(r["score"]) <= 1 + 1e-12 for r in found)
+    ranks = sorted((r["rank"], r["vec_id"]) for r in found)
+    assert len(found) == 8 and [x[0] for x in ranks] == [1, 1, 2, 2, 3, 3, 4, 4]
+    along = {(r["rank"], r["vec_id"]): r["score"] for r in found}
+    assert along[(1, 5)] == 1.0 and abs(along[(2, 1)] - 1 / math.sqrt(1.01)) < 1e-12

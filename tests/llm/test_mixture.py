@@ -87,3 +87,15 @@ def test_query_equals_its_sql(spark, name):
     from touchline.llm import queries
 
     check(queries.op2_mixture, queries.MIXTURE_SQL, spark, f"/root/testdata/{name}")
+
+
+def test_columns_named_like_the_plan_are_kept(spark, docs):
+    names = ["quota", "w_start", "w_end", "before_bucket", "copy", "source_key", "w", "cap", "level"]
+    theirs = docs.limit(50).withColumns({c: F.lit(f"their {c}") for c in names})
+    mixed = mixture.mix(theirs)
+    assert mixed.count() == 50 and all(mixed.filter(F.col(c) != f"their {c}").count() == 0 for c in names)
+    copies = mixture.emit(mixed)
+    assert copies.filter("copy != 'their copy' or quota != 'their quota'").count() == 0
+    plain = mixture.emit(mixture.mix(docs.limit(50)))
+    key = lambda df: sorted((r["doc_id"], r["position"], r["text"]) for r in df.collect())
+    assert key(copies) == key(plain)

@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from touchline.llm import packing, queries
 
 try:
@@ -77,3 +79,15 @@ def test_odd_rows(odd, none):
 def test_groups_are_bounded(docs):
     many = packing.pack_documents(docs, group_chars=50_000).toPandas()
     assert (many["sequence_id"] // 2**32).nunique() > 3 and many.groupby("doc_id")["length"].sum().sum() == packing.pack_documents(docs).toPandas()["length"].sum()
+
+
+def test_repeated_rows_are_dealt_alike_however_they_come(spark):
+    rows = [(1, "the same words again")] * 700 + [(2, "other words"), (2, "other words"), (None, None), (None, None), (3, "single")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for n in (1, 7):
+        out = packing.pack_documents(df.repartition(n), group_chars=2_000).drop("row_id")
+        found.append(sorted(map(str, out.collect())))
+        assert out.filter("doc_id = 1").agg(F.sum("length")).first()[0] == 700 * out.filter("doc_id = 1").first()["doc_tokens"]
+        assert out.filter("doc_id = 1").select(F.shiftright("sequence_id", 32)).distinct().count() > 1
+    assert found[0] == found[1]

@@ -92,3 +92,17 @@ def test_query_equals_its_sql(spark, name):
     from tests.oracle import check
 
     check(queries.op6_secrets, queries.SECRETS_SQL, spark, f"/root/testdata/{name}")
+
+
+def test_a_text_of_many_matches_takes_linear_time(spark):
+    import time
+
+    piece = "token = abcDEF123456 " + "0123456789abcdef" * 2 + " Zz9" + "Qw3rTyU1oP" * 2 + " "
+    took = []
+    for n in (2_000, 16_000):
+        df = spark.createDataFrame([(1, piece * n, "s")], "doc_id long, text string, source string")
+        began = time.time()
+        r = secrets.digest_columns(secrets.scan(df)).first()
+        took.append(time.time() - began)
+        assert r["n_assign"] == n and r["n_hex"] == n
+    assert took[1] < 30

@@ -115,3 +115,54 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     n = 300
     links = spark.createDataFrame(pd.DataFrame({"a": range(n), "b": range(1, n + 1)}))
     assert {r["root"] for r in grow(links).collect()} == {0} and grow(links).count() == n + 1
+
+
+def test_a_dense_ball_is_linked_whole_with_few_fingerprints_held(spark):
+    """A centre, all that differ from it in one or two bits, and some of three: far more under one key than the bound."""
+    from touchline.llm import simhash as sh
+
+    centre = 0x0123456789ABCDEF
+    ball = [centre] + [centre ^ m for m in sh.masks(24, 2)[1:]] + [centre ^ m ^ (1 << 63) for m in sh.masks(64, 1)[1:]]
+    far = [centre ^ 0xFF ^ (0xFF << k) for k in range(8, 48, 8)]
+    fps = sorted({*ball, *far})
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    every = spark.createDataFrame([(x,) for x in signed], "fp long")
+    roots = {r["node"]: r["root"] for r in sh.components(sh.links(every, most=50)).collect()}
+    expected: dict = {}
+    left, n = set(fps), 0
+    while left:
+        todo, n = [left.pop()], n + 1
+        while todo:
+            one = todo.pop()
+            expected[one] = n
+            near = [x for x in left if (x ^ one).bit_count() <= 4]
+            left.difference_update(near)
+            todo += near
+    classes: dict = {}
+    for x, s in zip(fps, signed):
+        classes.setdefault(expected[x], set()).add(roots.get(s, s))
+    assert all(len(v) == 1 for v in classes.values()) and len({next(iter(v)) for v in classes.values()}) == len(classes)
+
+
+def test_owners_of_a_key_are_bounded_and_others_pass():
+    from touchline.llm import simhash as sh
+
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 63, 2_000, np.uint64)
+    keys, out = sh.posts(fps, None, 2, 4)
+    for length in (3, 4):
+        keys, out = sh.posts(out[:4_000], keys[:4_000], length, 4)
+    own = sh.owned(keys, out)
+    assert own.any() and not own.all()
+    for k in np.unique(keys[own])[:50]:
+        assert len(np.unique(out[own & (keys == k)])) <= 8192
+    import pandas as pd
+
+    base = np.uint64(0x1111222233334444)
+    first = [base, base ^ np.uint64(1 << 60)]
+    others = [base ^ np.uint64(m) for m in (3, 1 << 5, (1 << 60) | 1, 0xFFFF)]
+    pdf = pd.DataFrame({"key": 7, "fp": np.array(first + others, np.uint64).view(np.int64), "own": [True] * 2 + [False] * 4})
+    found = pd.concat(sh._passing(4)(iter([pdf.iloc[:1], pdf.iloc[1:4], pdf.iloc[4:], pdf.assign(key=8, own=True).iloc[:2]])))
+    pairs = {(np.int64(a).astype(np.uint64), np.int64(b).astype(np.uint64)) for a, b in found.to_numpy()}
+    linked = {frozenset((int(a), int(b))) for a, b in pairs}
+    assert frozenset(map(int, first)) in linked and len({x for p in linked for x in p}) == 5 and int(others[3]) not in {x for p in linked for x in p}

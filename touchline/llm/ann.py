@@ -10,7 +10,8 @@ cosine on the original vectors.
 
 Every vector is indexed; the best of all shards are merged by (score, id). Defined results: vectors that are null,
 empty, zero or hold null or non-finite components, and rows with a null id, take no part; fewer candidates than
-``k`` give them all; ties go to the smaller id; vectors of another length than most meet only their own kind (without
+``k`` give them all; ties go to the smaller id; a query that repeats (id and vector) is asked once, one id with several vectors
+once for each of them; candidates that repeat are found each; vectors of another length than most meet only their own kind (without
 pivots of that length their own axes stand in).
 
 Vectors without any structure are the worst case: in 64 independent dimensions the order of pivots tells little, so long prefixes
@@ -45,6 +46,11 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near 1: squares neither overflow nor vanish, and cosines stay the same to the bit."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=-1, keepdims=True))[1])
+
+
 def places(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest pivots of each (unit) vector in order."""
     return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :prefix]
@@ -55,6 +61,7 @@ class Files:
     less the pivot's place, 0 where it is absent. A quarter of all bytes isn't 0, so bytes take less room than posted pairs."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int):
+        vectors = scaled(vectors)
         self.ids, self.vectors, self.pivots = ids, vectors, pivots
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.prefix = min(prefix, len(pivots), 255)
@@ -75,9 +82,12 @@ class Files:
             total += block
         return total
 
-    def candidates(self, near: np.ndarray, count: int) -> np.ndarray:
-        """The ``count`` rows of the smallest footrule, ties to the smaller id."""
-        shared = self.shared(near)
+    def candidates(self, near: np.ndarray, count: int, own: int | None = None) -> np.ndarray:
+        """The ``count`` rows of the smallest footrule with another id than ``own``, ties to the smaller id."""
+        others = np.flatnonzero(self.ids != own) if own is not None else np.arange(len(self.ids))
+        return others[self._closest(self.shared(near)[others], count)]
+
+    def _closest(self, shared: np.ndarray, count: int) -> np.ndarray:
         if count >= len(shared):
             return np.arange(len(shared))
         edge = np.partition(shared, len(shared) - count)[len(shared) - count]
@@ -94,10 +104,11 @@ class Files:
 def search(rows: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, pivots: int = 256, prefix: int = 64, share: float = SHARE, per_shard: int = 8_192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest of ``rows`` other than itself."""
     base, asked = usable(rows, id_col, vector_col), usable(queries, id_col, vector_col)
+    asked = asked.withColumn("h", F.xxhash64("embedding").cast("string")).dropDuplicates(["vec_id", "h"])
     drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("embedding").toPandas()["embedding"].tolist()
     by_size: dict[int, np.ndarray] = {}
     for n in {len(v) for v in drawn}:
-        unit = np.array([v for v in drawn if len(v) == n], float)
+        unit = scaled(np.array([v for v in drawn if len(v) == n], float))
         by_size[n] = unit / np.sqrt((unit * unit).sum(1))[:, None]
     shards = shards_for(base.count(), per_shard)
 
@@ -106,7 +117,7 @@ def search(rows: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vecto
         files: dict[int, Files] = {}
         for pdf in batches:
             out = []
-            for tag, vec_id, v in zip(pdf["tag"], pdf["vec_id"], pdf["embedding"]):
+            for tag, vec_id, v, h in zip(pdf["tag"], pdf["vec_id"], pdf["embedding"], pdf["h"]):
                 if tag == 0:
                     held.setdefault(len(v), []).append((vec_id, v))
                     continue
@@ -116,11 +127,11 @@ def search(rows: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vecto
                         files[n] = Files(np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], float), pivot, prefix)
                     held = {}
                 if own := files.get(len(v)):
-                    query = np.array(v, float)
+                    query = scaled(np.array(v, float))
                     near = places((query / np.sqrt((query * query).sum()))[None, :], own.pivots, own.prefix)
-                    out += [(vec_id, x, s) for x, s in own.nearest(query, vec_id, own.candidates(near[0], candidate_count(len(own.ids), k, share)), k)]
+                    out += [(vec_id, h, x, s) for x, s in own.nearest(query, vec_id, own.candidates(near[0], candidate_count(len(own.ids), k, share), vec_id), k)]
             if out:
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                yield pd.DataFrame(out, columns=["query_id", "h", "vec_id", "score"])
 
-    found = search_shards(base, asked, shards, "vec_id", run, "query_id long, vec_id long, score double")
-    return best(found, k, "query_id", "score", "vec_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = search_shards(base.withColumn("h", F.lit(None).cast("string")), asked, shards, "vec_id", run, "query_id long, h string, vec_id long, score double")
+    return best(found.withColumn("__q", F.struct("query_id", "h")), k, "__q", "score", "vec_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

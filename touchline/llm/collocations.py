@@ -36,6 +36,8 @@ PLAIN = bytes(0xFF if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b +
 #: Multipliers of the phrase hashes (fixed values: odd 64-bit numbers).
 STEP, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 UNKNOWN = "und"
+#: Rows of language totals that may be broadcast.
+FEW_LANGS = 10_000
 COUNTS = "bucket int, lang string, phrase string, h long, n long"
 
 
@@ -181,7 +183,8 @@ def scored(frequent: DataFrame, totals: DataFrame, *, shortest: int = 2) -> Data
     cuts = cuts.select("lang", "size", "phrase", F.col("f").alias("a"), "k", part("w", F.lit(1), F.col("k")).alias("left"), part("w", F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
     known = frequent.select("lang", "phrase", "f")
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"]).join(known.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
-    cuts = cuts.join(totals, "lang")
+    # a row for each language: sent to all tasks where their number is small, as a join by language alone would meet in few tasks
+    cuts = cuts.join(F.broadcast(totals) if totals.limit(FEW_LANGS + 1).count() <= FEW_LANGS else totals, "lang")
     # a product of two counts has up to 34 digits, and with the factor 1000 up to 37
     wide = lambda c: F.col(c).cast("decimal(17,0)")
     cuts = cuts.withColumn("above", (F.lit(1000).cast("decimal(4,0)") * wide("a") * wide("n")).cast("decimal(38,0)")).withColumn("below", (wide("l") * wide("r")).cast("decimal(38,0)"))

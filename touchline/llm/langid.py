@@ -5,10 +5,9 @@ longest character n-grams of it (five down to one) that the model knows, by thei
 ``sample_docs`` of them (a documented bound; the choice is by a hash of id and text, which no score sees).
 
 The model holds sparse rows: for a word or n-gram the languages that have it, each by how much less likely it is there than
-in the likeliest one (``MOST`` nats at most), and nothing for languages that lack it, which stand at ``MOST``. It keeps the most frequent ``words`` words
-and ``grams`` n-grams of each length per language, and over all languages no more than ``entries`` rows, which are
-dealt evenly where there are many languages, so its size has a fixed bound however many labels the data hold. The frequency at which a
-language reaches its number is found from a histogram of frequencies; among grams of that very frequency a hash chooses.
+in the likeliest one (``MOST`` nats at most), and nothing for languages that lack it, which stand at ``MOST``. It keeps every word and
+n-gram that its language has at least ``least`` times in the sample; nothing else bounds it but the sample of labelled rows, so what one language's
+rows teach does not depend on how many others there are.
 
 Defined results: a null text and a text without any letter give ``und`` with score 0; ties between languages go to the
 smaller code; labels may be null (such rows teach nothing); with no labelled rows every text is ``und``.
@@ -23,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, bounded_sample, cut_lineage, id_crc
@@ -58,17 +57,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "gram": list(counts), "n": list(counts.values())})
 
 
-def _most_frequent(every: DataFrame, limit) -> DataFrame:
-    """Of each language and size about the ``limit`` most frequent grams. Only a histogram of frequencies meets in one place."""
-    order = Window.partitionBy("lang", "size").orderBy(F.desc("n"))
-    levels = every.groupBy("lang", "size", "n").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(order) - F.col("c"))
-    edge = levels.filter(F.col("before") + F.col("c") > limit).groupBy("lang", "size").agg(F.max("n").alias("edge"), F.max_by(F.greatest(F.lit(0), limit - F.col("before")) / F.col("c"), "n").alias("part"))
-    chance = F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) / float(1 << 20)
-    joined = every.join(edge, ["lang", "size"], "left")
-    return joined.filter(F.col("edge").isNull() | (F.col("n") > F.col("edge")) | ((F.col("n") == F.col("edge")) & (chance < F.col("part")))).drop("edge", "part")
-
-
-def train(docs: DataFrame, *, id_col: str = "doc_id", sample_docs: int = 30_000, words: int = 20_000, grams: int = 6_000, entries: int = 600_000) -> Model:
+def train(docs: DataFrame, *, id_col: str = "doc_id", sample_docs: int = 30_000, least: int = 2) -> Model:
     """``docs`` has an id, text and lang; rows with a null text or lang teach nothing."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), "text", "lang").filter("text is not null and lang is not null")
@@ -83,9 +72,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", sample_docs: int = 30_000,
     by_gram = vocabulary.select("lang", "n", F.explode(F.concat(*[pieces(n) for n in range(1, LONGEST + 1)])).alias("p")).filter(F.length("p.gram") == F.col("p.size")).groupBy("lang", "p.size", "p.gram").agg(F.sum("n").alias("n"))
     every = cut_lineage(vocabulary.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(by_gram))
     totals = every.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    share = min(1.0, entries / max(1, (words + LONGEST * grams) * totals.select("lang").distinct().count()))
-    limit = F.when(F.col("size") == 0, max(1, int(words * share))).otherwise(max(1, int(grams * share)))
-    return _model(_most_frequent(every, limit).join(totals, ["lang", "size"]).select("lang", "size", "gram", "n", "total").toPandas())
+    return _model(every.filter(F.col("n") >= least).join(totals, ["lang", "size"]).select("lang", "size", "gram", "n", "total").toPandas())
 
 
 def _model(kept: pd.DataFrame) -> Model:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
+#: Copies of one document that may meet in one group.
+TOGETHER = 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_id long"
 Piece = tuple[int, int, int]  # document, start, length
 
@@ -173,7 +175,13 @@ def pack_documents(docs: DataFrame, *, size: int = 2048, end_id: int = 1, group_
         at += n
     place = F.create_map(*[F.lit(x) for s, a, n in firsts for x in (s, F.struct(F.lit(a).alias("first"), F.lit(n).alias("n")))]) if firsts else None
     own = place[step] if firsts else F.struct(F.lit(0).alias("first"), F.lit(1).alias("n"))
-    # a few hundred neighbouring rows share a salt, so that rows repeated without end don't meet in one group
-    salted = F.xxhash64("doc_id", "text", F.shiftright(F.monotonically_increasing_id(), 8))
-    dealt = docs.select("doc_id", "text", own.alias("own"), salted.alias("h")).select("doc_id", "text", (F.col("own.first") + F.pmod("h", F.col("own.n"))).cast("long").alias("group"))
+    rows = docs.select("doc_id", "text", own.alias("own"), F.xxhash64("doc_id", "text").alias("h"))
+    # rows that repeat are counted and dealt as numbered copies, so that they go to many groups, and to the same ones when a task runs again
+    often = rows.groupBy("doc_id", "own", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "own", "h")]
+    once = rows.alias("a").join(often.alias("b"), same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    counted = rows.alias("a").join(often.alias("b"), same, "left_semi").groupBy("doc_id", "text", "own", "h").agg(F.count("*").alias("n"))
+    copies = counted.select("doc_id", "text", "own", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    salted = F.when(F.col("copy") < TOGETHER, F.col("h")).otherwise(F.xxhash64("h", F.floor(F.col("copy") / TOGETHER)))
+    dealt = once.unionByName(copies).select("doc_id", "text", (F.col("own.first") + F.pmod(salted, F.col("own.n"))).cast("long").alias("group"))
     return dealt.repartition("group").sortWithinPartitions("group", "doc_id", F.xxhash64("text")).select("group", "doc_id", "text").mapInPandas(_packed(encoder, size, end_id), SCHEMA)

@@ -72,12 +72,17 @@ def mixed_spans(text: Column, base: Column) -> Column:
         v = s["value"]
         return v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
 
-    def free(rows: Column, base: Column) -> Column:
-        # base spans near a block are picked once for all of its strings
-        near = F.filter(base, lambda b: (b["start"] < F.element_at(rows, -1)["stop"]) & (b["stop"] > F.element_at(rows, 1)["start"]))
+    def free(rows: Column, parts: Column) -> Column:
+        # both come by start, so a block of strings meets few blocks of base spans; of those the spans near it are picked once for all of its strings
+        reaches = lambda x: (x["start"] < F.element_at(rows, -1)["stop"]) & (x["stop"] > F.element_at(rows, 1)["start"])
+        near = F.filter(F.flatten(F.transform(F.filter(parts, reaches), lambda x: x["rows"])), reaches)
         return _bound(near, lambda n: F.filter(rows, lambda s: ~F.exists(n, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))))
 
-    return _bound(base, lambda b: _bound(F.filter(_spans(text, "token", MIXED), odd), lambda spans: F.flatten(F.transform(_blocks(spans), lambda rows: free(rows, b)))))
+    def part(rows: Column) -> Column:
+        return F.struct(rows.alias("rows"), F.element_at(rows, 1)["start"].alias("start"), F.array_max(F.transform(rows, lambda s: s["stop"])).alias("stop"))
+
+    parts = _bound(base, lambda b: F.transform(_blocks(b), part))
+    return _bound(parts, lambda p: _bound(F.filter(_spans(text, "token", MIXED), odd), lambda spans: F.flatten(F.transform(_blocks(spans), lambda rows: free(rows, p)))))
 
 
 def _named(spans: Column) -> Column:

@@ -10,7 +10,9 @@ candidates, the rest of the chain prunes them, and the full distance decides.
 Rows with equal fingerprints are taken together first. A key's fingerprints are searched breadth first, each found one
 leaving the list of the unreached, so a dense group of copies costs about its size and gives a spanning forest rather
 than all its pairs; no link between different fingerprints is lost for the components. A key that too many fingerprints share is
-extended along its chain, so a task's memory has a bound.
+extended along its chain. With four segments a key has at most 8192 owners, fingerprints whose own segments it holds, and of
+every pair within the budget one is an owner of a key under which the other is posted. So there the owners alone are held and the others stream past
+them, which bounds a task's memory however dense a group is.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; rows with a null id take part and
 don't lower a component's id (a component of null ids alone has a null id); repeated rows stay rows.
@@ -114,7 +116,7 @@ def _posted(length: int, budget: int):
                 part = pdf.iloc[at : at + STEP]
                 keys, fps = posts(wide(part["fp"]), wide(part["key"]) if "key" in part else None, length, budget)
                 if len(keys):
-                    yield pd.DataFrame({"key": keys.view(np.int64), "fp": fps.view(np.int64)})
+                    yield pd.DataFrame({"key": keys.view(np.int64), "fp": fps.view(np.int64), "own": owned(keys, fps) if length == SEGMENTS - 1 else False})
 
     return run
 
@@ -144,7 +146,7 @@ def forest(fps: np.ndarray, budget: int) -> list[tuple[int, int]]:
     return links
 
 
-def _linked(budget: int, most: int | None):
+def _linked(budget: int, most: int):
     """Links among rows that come sorted by key. Of a key with more than ``most`` fingerprints the rows themselves come out (open),
     as soon as that is known; no more than that is held."""
 
@@ -159,7 +161,7 @@ def _linked(budget: int, most: int | None):
             return frame(np.stack([np.full(len(fps), k, np.int64).view(np.uint64), fps], 1), True)
 
         def whole(k: int, fps: np.ndarray) -> Iterator[pd.DataFrame]:
-            if most is not None and len(fps) > most:
+            if len(fps) > most:
                 yield rows(k, fps)
             elif len(fps) > 1 and (found := forest(fps, budget)):
                 yield frame(found, False)
@@ -178,7 +180,7 @@ def _linked(budget: int, most: int | None):
                 yield rows(key, fps[: ends[0]])
             else:
                 held.append(fps[: ends[0]])
-                if most is not None and sum(map(len, held)) > most:
+                if sum(map(len, held)) > most:
                     yield rows(key, np.concatenate(held))
                     held, spilling = [], True
             if len(starts) > 1:
@@ -203,20 +205,99 @@ def _linked(budget: int, most: int | None):
     return search
 
 
+def owned(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """Whether each fingerprint's own first four segments are those of its key."""
+    first, out = (keys >> np.uint64(60)).astype(int), np.ones(len(fps), bool)
+    for i in range(SEGMENTS):
+        here = first == i
+        for n in range(SEGMENTS - 1):
+            out[here] &= _segment(fps[here], i + n) == (keys[here] >> np.uint64(13 * n)) & np.uint64(8191)
+    return out
+
+
+#: Fingerprints that are compared with a key's owners at a time.
+PASSING = 256
+
+
+def _passing(budget: int):
+    """Links among rows that come sorted by key, owners first: owners are held, the others pass by in blocks. Of the owners that
+    one links to, one of each group that links already join is enough."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, owners, group = None, np.zeros(0, np.uint64), None
+
+        def frame(pairs: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame(np.ascontiguousarray(pairs, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
+
+        def close() -> Iterator[pd.DataFrame]:
+            """Once all owners of a key are there: their own links."""
+            nonlocal group
+            if group is None and len(owners):
+                found = forest(owners, budget)
+                group = _groups(owners, found)
+                if found:
+                    yield frame(np.array(found, np.uint64))
+
+        def pass_by(fps: np.ndarray) -> Iterator[pd.DataFrame]:
+            for at in range(0, len(fps), PASSING):
+                some = fps[at : at + PASSING]
+                x, y = np.nonzero(np.bitwise_count(some[:, None] ^ owners[None, :]) <= budget)
+                if len(x):
+                    _, one = np.unique(x * len(owners) + group[y], return_index=True)
+                    yield frame(np.stack([some[x[one]], owners[y[one]]], 1))
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys, fps, own = pdf["key"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["own"].to_numpy(bool)
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts, cuts[1:]):
+                if keys[s] != key:
+                    yield from close()
+                    key, owners, group = keys[s], np.zeros(0, np.uint64), None
+                mine = own[s:e]
+                owners = np.concatenate([owners, fps[s:e][mine]])
+                if not mine.all() and len(owners):
+                    yield from close()
+                    yield from pass_by(fps[s:e][~mine])
+        yield from close()
+
+    return search
+
+
+def _groups(owners: np.ndarray, found: list[tuple[int, int]]) -> np.ndarray:
+    """A number for each owner, the same for those that links join."""
+    place = {int(x): i for i, x in enumerate(owners)}
+    up = list(range(len(owners)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for a, b in found:
+        up[top(place[a])] = top(place[b])
+    return np.array([top(i) for i in range(len(owners))], np.int64)
+
+
 def links(fps: DataFrame, *, budget: int = 4, most: int = 16_384) -> DataFrame:
     """Links (a, b) between distinct fingerprints that leave the same components as all pairs within ``budget`` bits.
 
-    A key that more than ``most`` fingerprints share is told apart by one more segment of the chain, and again; four
-    segments leave at most 8192 fingerprints to a key, so no task ever holds more than ``most``.
+    A key that more than ``most`` fingerprints share is told apart by one more segment of the chain, and again. Tasks hold at most
+    ``most`` fingerprints of a key, and of keys of four segments the owners, of which 8192 at most are different.
     """
     if not 0 <= budget < SEGMENTS:
         raise ValueError(f"the posted keys are complete for budgets of 0 to {SEGMENTS - 1} bits")
     rows, out = fps.select("fp").distinct(), None
     for length in range(2, SEGMENTS):
         last = length == SEGMENTS - 1
-        keys = rows.mapInPandas(_posted(length, budget), "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-        found = cut_lineage(keys.mapInPandas(_linked(budget, None if last else most), "a long, b long, open boolean"))
-        here = found.filter("not open").select("a", "b")
+        keys = rows.mapInPandas(_posted(length, budget), "key long, fp long, own boolean").repartition("key")
+        if last:
+            here = cut_lineage(keys.sortWithinPartitions("key", F.desc("own"), "fp").mapInPandas(_passing(budget), "a long, b long"))
+        else:
+            found = cut_lineage(keys.sortWithinPartitions("key", "fp").mapInPandas(_linked(budget, most), "a long, b long, open boolean"))
+            here = found.filter("not open").select("a", "b")
         out = here if out is None else out.unionByName(here)
         if last or found.filter("open").limit(1).count() == 0:
             break

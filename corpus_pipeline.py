@@ -50,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per copy that the mix takes, in training order. Null and blank texts have no words, so the mix takes none of them;
     documents without a source are a source of their own."""
     out = mixture.emit(mixture.mix(docs.select(*COLUMNS))).withColumn("n_chars", F.length("text").cast("long"))
-    return out.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy").select(*COLUMNS)
+    return out.repartitionByRange("position", "doc_id", "__copy").sortWithinPartitions("position", "doc_id", "__copy").select(*COLUMNS)
 
 
 def steps(docs: DataFrame) -> DataFrame:

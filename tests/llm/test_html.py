@@ -149,6 +149,28 @@ def test_text_repeated_inside_articles_stays(spark):
     assert {r["text"] for r in H.extract(df).collect()} == {f"Same line. Own {i}" for i in range(6)}
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<article><p>A <svg viewBox='0 0 1 1'/> rest</p><p>more</p></article>", "A rest more"), ("<article><p>A <svg><path d='x'/><text>no</text></svg> rest</p></article>", "A rest"), ("<article><p>A <svg> rest</p><p>more</p></article>", "A rest more"),
+    ("<article><title>t<p>body text</p></article>", "t body text"), ("<article><iframe src='x'><p>one</p><iframe><p>two</p></article>", "one two"), ("<article><p>one</p><script>var a = 1;", "one"), ("<article><svg/><svg></svg><p>x</p></article>", "x"),
+])
+def test_raw_elements_without_an_end_take_nothing_with_them(html, want):
+    assert H.main_text(html) == want
+
+
+def test_the_template_overrules_quiet_words_and_finds_unmarked_adverts(spark):
+    """Labels alone are wrong here both ways: a paper's discussion is marked like furniture, an advert is not marked at all."""
+    advert = "Buy two of our wonderful chairs today and get a third one for nothing"
+
+    def page(i):
+        return f"<html><body><div class='menu'><a>Home</a></div><article><h1>Paper {i}</h1><p>Result {i} of the study.</p><section id='discussion'><h2>Discussion</h2><p>We discuss finding {i} at length.</p></section><div><p>{advert}</p></div><div class='notice'>All rights of this site are reserved by us</div><div class='comments'><p>Reader {i} says hello</p></div></article><div class='footer'>The end</div></body></html>"
+
+    df = spark.createDataFrame([(i, f"https://papers.example.org/{i}", page(i)) for i in range(10)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    assert got == {i: f"Paper {i} Result {i} of the study. Discussion We discuss finding {i} at length." for i in range(10)}
+    alone = H.main_text(page(3))
+    assert advert in alone and "discuss" not in alone
+
+
 def test_odd_rows(spark):
     long = "<article>" + "<p>word</p>" * 50_000 + "</article>"
     rows = [(1, None, None), (2, "no url at all", "<article>x</article>"), (2, "no url at all", "<article>x</article>"), (None, "https://h/", ""), (3, "https://h/", long), (4, "https://h/", "<" * 3000)]

@@ -54,7 +54,7 @@ def test_copies_and_order(spark, docs):
     assert both.filter("n != taken").count() == 0 and both.count() == words.count()
     assert out.filter("position < 0 or position > 1 or position is null").count() == 0
     # a source whose weight rises stands later on average than one whose weight falls
-    late = {r[0]: r[1] for r in out.groupBy((F.col("w_end") > F.col("w_start")).alias("rises"), (F.col("w_end") < F.col("w_start")).alias("falls")).agg(F.avg("position")).select(F.col("rises").cast("int") - F.col("falls").cast("int"), "avg(position)").collect()}
+    late = {r[0]: r[1] for r in out.groupBy((F.col("__w_end") > F.col("__w_start")).alias("rises"), (F.col("__w_end") < F.col("__w_start")).alias("falls")).agg(F.avg("position")).select(F.col("rises").cast("int") - F.col("falls").cast("int"), "avg(position)").collect()}
     assert late[1] > late[-1]
 
 

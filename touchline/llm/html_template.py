@@ -60,6 +60,8 @@ MARKED = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "cookie", "cookies", "consent", "notice", "notices", "alert",
     "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "reply", "replies", "respond", "disqus", "discussion", "related", "recommended", "share", "sharing", "social", "widget", "toolbar", "pagination", "pager", "copyright", "complementary", "contentinfo", "search", "outbrain", "taboola",
 }
+# Those of them whose furniture says the same on every page of a host; where the text differs from page to page it is none.
+QUIET = {"discussion", "search", "notice", "notices", "alert", "banner", "overlay", "modal", "popup", "widget", "social", "copyright", "consent", "subscription", "login", "signup", "masthead", "complementary", "toolbar"}
 HEADERS = {"header", "site-header", "page-header", "global-header", "main-header", "top-header"}
 # Compounds of these words that are furniture as whole names.
 COMPOUNDS = {
@@ -74,12 +76,14 @@ TAG_SHARE, TEXT_SHARE = 0.2, 0.5
 TEMPLATE_PAGES, TEMPLATE_SUPPORT, VALID_SHARE = 4, 3, 0.9
 #: Containers alike below one element are told apart by number, from this one on no more.
 TWINS = 8
-#: An element is no furniture, so by a part of a class name, furniture, or hidden.
-PLAIN, PERHAPS, FURNISHED, HIDDEN = range(4)
+#: A text of so many characters that stands once on so large a part of a host's pages is no main text, wherever it stands.
+NOTICE_CHARS, NOTICE_SHARE = 40, 0.9
+#: An element is no furniture, so by a part of a class name, furniture by a word that a template can overrule, furniture, or hidden.
+PLAIN, PERHAPS, QUIETLY, FURNISHED, HIDDEN = range(5)
 #: What is known of a run of text: a space or block boundary before it, and its labels.
-SPACED, FURNITURE_RUN, REGION_RUN, LINK_RUN, PERHAPS_RUN = 1, 2, 4, 8, 16
+SPACED, FURNITURE_RUN, REGION_RUN, LINK_RUN, PERHAPS_RUN, QUIET_RUN, QUIET_START = 1, 2, 4, 8, 16, 32, 64
 PARSED = "host string, page long, tokens array<long>, found array<long>, times array<int>, at array<int>, sizes array<int>, flags array<int>, texts array<string>"
-SLOT_SUMS = ["chars", "furnished", "region", "linked", "perhaps", "constant"]
+SLOT_SUMS = ["chars", "furnished", "region", "linked", "perhaps", "constant", "quiet", "quiet_constant"]
 
 
 def furniture(name: str, attrs: dict[str, str], in_article: bool = False) -> int:
@@ -92,8 +96,9 @@ def furniture(name: str, attrs: dict[str, str], in_article: bool = False) -> int
     if name in FURNITURE and not (name == "header" and in_article):
         return FURNISHED
     marks = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower().split()
-    if any(x in MARKED or x in COMPOUNDS or (x in HEADERS and not in_article) for x in marks):
-        return FURNISHED
+    found = [x for x in marks if x in MARKED or x in COMPOUNDS or (x in HEADERS and not in_article)]
+    if found:
+        return QUIETLY if QUIET.issuperset(found) else FURNISHED
     return PERHAPS if any(x in MARKED for m in marks for x in PARTS.findall(m)) else PLAIN
 
 
@@ -157,6 +162,7 @@ def parse(page: str | None) -> Page:
         twins.pop()
 
     held = 0  # start of the text that isn't handed on yet
+    unclosed: set[str] = set()
     while (at := page.find("<", at)) >= 0:
         after = page[at + 1 : at + 2]
         closing = after == "/"
@@ -197,8 +203,15 @@ def parse(page: str | None) -> Page:
             tokens.append(token("open", role, outer))
             if name in RAW:
                 spaced = spaced or name not in INLINE
+                if (name == "svg" and page[at - 2] == "/") or name in unclosed:
+                    continue
                 close = ENDS[name].search(page, at)
-                at = held = end if close is None else close.end()
+                if close is not None:
+                    at = held = close.end()
+                elif name in {"script", "style"}:
+                    at = held = end
+                else:
+                    unclosed.add(name)  # without its end the tag alone goes, and no later one of its name can have an end
                 continue
             if name not in VOID:
                 in_article = bool(opened["article"])
@@ -238,7 +251,7 @@ def labels(page: Page) -> list[int]:
         own[at] += len(text.strip())
     length = held(elements, own)
     hidden = inside(elements, [e.furniture == HIDDEN for e in elements])
-    bad = [e.furniture >= FURNISHED for e in elements]
+    bad = [e.furniture >= QUIETLY for e in elements]
     within = inside(elements, bad)
     kinds = {e.kind for e in elements}
     for kind in ("article", "main"):
@@ -251,6 +264,10 @@ def labels(page: Page) -> list[int]:
             break
     else:
         bad = [x and not (e.kind == "form" and 2 * length[i] > length[0] and not hidden[i]) for i, (x, e) in enumerate(zip(bad, elements))]
+    quiet = [0] * len(elements)  # the outermost element of a quiet word that holds each
+    for i in range(1, len(elements)):
+        quiet[i] = quiet[elements[i].parent] or (i if bad[i] and elements[i].furniture == QUIETLY else 0)
+    hard = inside(elements, [x and e.furniture != QUIETLY for x, e in zip(bad, elements)])
     bad = inside(elements, bad)
     article, main, link = (inside(elements, [e.kind == kind for e in elements]) if kind in kinds else None for kind in ("article", "main", "a"))
     perhaps = inside(elements, [e.furniture == PERHAPS for e in elements])
@@ -261,7 +278,8 @@ def labels(page: Page) -> list[int]:
     if in_article and in_main:
         both = [a and b for a, b in zip(article, main)]
         region = both if 2 * mass(both) >= in_main else main
-    return [(SPACED if spaced else 0) | (FURNITURE_RUN if bad[at] else 0) | (REGION_RUN if region and region[at] else 0) | (LINK_RUN if link and link[at] else 0) | (PERHAPS_RUN if perhaps[at] else 0) for _, _, at, spaced in page.runs]
+    before = [0, *(quiet[at] for _, _, at, _ in page.runs)]
+    return [(QUIET_START if quiet[at] and quiet[at] != last else 0) | (SPACED if spaced else 0) | (FURNITURE_RUN if bad[at] else 0) | (REGION_RUN if region and region[at] else 0) | (LINK_RUN if link and link[at] else 0) | (PERHAPS_RUN if perhaps[at] else 0) | (QUIET_RUN if bad[at] and not hard[at] else 0) for (_, _, at, spaced), last in zip(page.runs, before)]
 
 
 def page_order(tokens: list[int], classes: dict[int, int], sizes: dict[int, int]) -> dict[int, tuple[int, ...] | None]:
@@ -341,10 +359,21 @@ def by_labels(flags: list[int]) -> list[bool]:
     return [not f & FURNITURE_RUN and (not region or bool(f & REGION_RUN)) for f in flags]
 
 
-def choose(flags: list[int], own: list[tuple[int, int] | None], main: dict[tuple[int, int], bool]) -> list[bool]:
-    """Which runs are main text: those of the host's main slots less furniture; runs in no judged slot go by their labels."""
+def choose(flags: list[int], own: list[tuple[int, int] | None], main: dict[tuple[int, int], tuple[bool, bool]], notice: list[bool] | None = None) -> list[bool]:
+    """Which runs are main text: those of the host's main slots less furniture and notices, and with all that a quiet word marks if some
+    of it differs there from page to page. Runs in no judged slot go by their labels."""
     plain = by_labels(flags)
-    return [main[s] and not f & FURNITURE_RUN if s in main else p for f, s, p in zip(flags, own, plain)]
+    kept = [main[s][0] and not f & FURNITURE_RUN if s in main else p for f, s, p in zip(flags, own, plain)]
+    area: list[int] = []
+    for i, f in enumerate([*flags, QUIET_START]):
+        if f & QUIET_START:
+            if any(own[k] in main and all(main[own[k]]) for k in area):
+                for k in area:
+                    kept[k] = True
+            area = []
+        if f & QUIET_RUN:
+            area.append(i)
+    return [k and not n for k, n in zip(kept, notice)] if notice else kept
 
 
 def main_text(page: str | None) -> str:
@@ -375,7 +404,8 @@ def parsed(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") ->
 
 
 def classes(contents: DataFrame, *, least_pages: int = TEMPLATE_PAGES, least_support: int = TEMPLATE_SUPPORT) -> DataFrame:
-    """host, token, class, constant: tokens of frequent equivalence classes over a host's distinct pages."""
+    """host, token, class, everywhere: tokens of frequent equivalence classes over a host's distinct pages, and which are a text that
+    stands once on nearly all of them."""
     each = contents.select("host", "page", F.explode(F.arrays_zip(F.col("found").alias("token"), F.col("times").alias("n"))).alias("x")).select("host", F.col("x.token").alias("token"), F.col("x.n").alias("n"), F.xxhash64("page", "x.n").alias("mark"))
     # the vector is a sum in two halves, which can't overflow
     halves = F.sum(F.col("mark").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftright("mark", 32)).alias("high")
@@ -383,7 +413,8 @@ def classes(contents: DataFrame, *, least_pages: int = TEMPLATE_PAGES, least_sup
     hosts = contents.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
     is_text = F.col("token").bitwiseAND(F.lit(1)) == 1
     frequent = by_token.join(hosts, "host").filter(F.col("support") >= F.when(is_text, TEXT_SHARE).otherwise(TAG_SHARE) * F.col("pages"))
-    return frequent.select("host", "token", F.xxhash64("low", "high", "support", "total").alias("class"))
+    everywhere = is_text & (F.col("support") >= NOTICE_SHARE * F.col("pages")) & (F.col("total") == F.col("support"))
+    return frequent.select("host", "token", F.xxhash64("low", "high", "support", "total").alias("class"), everywhere.alias("everywhere"))
 
 
 def _orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -410,16 +441,17 @@ def _counted(seen: Counter) -> pd.DataFrame:
 
 
 def template(contents: DataFrame, found: DataFrame) -> DataFrame:
-    """host, token, class, place, size: tokens of the valid classes, in order."""
+    """host, token, class, place, size, everywhere: tokens of the valid classes, in order."""
     arrays = found.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("t")).select("host", F.col("t.token").alias("own"), F.col("t.class").alias("of"))
     told = contents.select("host", "tokens").join(arrays, "host").mapInPandas(_orders, "host string, class long, order array<long>, pages long")
     told = told.groupBy("host", "class", "order").agg(F.sum("pages").alias("pages")).groupBy("host", "class").agg(F.max_by("order", F.struct("pages", "order")).alias("order"), F.max("pages").alias("most"), F.sum("pages").alias("pages"))
     valid = told.filter((F.size("order") > 0) & (F.col("most") >= VALID_SHARE * F.col("pages")))
-    return valid.select("host", "class", F.size("order").alias("size"), F.posexplode("order").alias("place", "token"))
+    placed = valid.select("host", "class", F.size("order").alias("size"), F.posexplode("order").alias("place", "token"))
+    return placed.join(found.select("host", "token", "everywhere"), ["host", "token"])
 
 
 def _slot_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Characters by host and slot: all, furniture, in articles, in links, perhaps furniture, unchanging."""
+    """Characters by host and slot: all, furniture, in articles, in links, perhaps furniture, unchanging, under quiet words, unchanging among these."""
     sums: dict[tuple, list[int]] = {}
     known: dict[str, dict] = {}
 
@@ -436,8 +468,9 @@ def _slot_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for slot, where, n, f in zip(slots(tokens, at.tolist(), places), at.tolist(), sizes.tolist(), flags.tolist()):
                 if slot is not None:
                     x = sums.setdefault((name, *slot), [0] * len(SLOT_SUMS))
-                    plain = 0 if f & FURNITURE_RUN else n
-                    for i, v in enumerate((n, n - plain, plain if f & REGION_RUN else 0, plain if f & LINK_RUN else 0, plain if f & PERHAPS_RUN else 0, plain if tokens[where] in places else 0)):
+                    plain, quiet, fixed = 0 if f & FURNITURE_RUN else n, n if f & QUIET_RUN else 0, tokens[where] in places
+                    told = plain + quiet
+                    for i, v in enumerate((n, n - told, told if f & REGION_RUN else 0, told if f & LINK_RUN else 0, plain if f & PERHAPS_RUN else 0, plain if fixed else 0, quiet, quiet if fixed else 0)):
                         x[i] += v
         if len(sums) > 50_000:
             yield rows()
@@ -447,15 +480,18 @@ def _slot_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def judged(contents: DataFrame, told: DataFrame) -> DataFrame:
-    """host, class, place, main: whether each slot of a host's template is main text, by the text of all its pages there."""
+    """host, class, place, main, loud: whether each slot of a host's template is main text, by the text of all its pages there, and whether
+    what quiet words mark in it differs from page to page, so that it is none of the furniture they mean."""
     t = told.groupBy("host").agg(F.collect_list(F.struct("token", "class", "place", "size")).alias("t")).select("host", F.col("t.token").alias("own"), F.col("t.class").alias("of"), F.col("t.place").alias("place"), F.col("t.size").alias("size"))
     sums = contents.select("host", "tokens", "at", "sizes", "flags").join(t, "host").mapInPandas(_slot_sums, "host string, class long, place int, " + ", ".join(f"{c} long" for c in SLOT_SUMS))
-    sums = sums.groupBy("host", "class", "place").agg(*[F.sum(c).alias(c) for c in SLOT_SUMS]).withColumn("plain", F.col("chars") - F.col("furnished"))
+    sums = sums.groupBy("host", "class", "place").agg(*[F.sum(c).alias(c) for c in SLOT_SUMS])
+    loud = (F.col("quiet") > 0) & (2 * F.col("quiet_constant") < F.col("quiet")) & (2 * F.col("linked") < F.col("quiet")) & (2 * F.col("region") >= F.col("quiet"))
+    sums = sums.withColumn("loud", loud).withColumn("furnished", F.col("furnished") + F.when(loud, 0).otherwise(F.col("quiet"))).withColumn("plain", F.col("chars") - F.col("furnished"))
     whole = sums.groupBy("host").agg((F.sum("region") > 0).alias("regions"), F.max(F.col("plain") - F.col("linked")).alias("largest"))
     unchanging = F.col("constant") >= 0.8 * F.col("plain")
     outside = (F.col("plain") - F.col("linked") >= F.col("largest")) | ((F.col("linked") < 0.6 * F.col("plain")) & ~unchanging)
     inner = (2 * F.col("region") >= F.col("plain")) & ~(unchanging & (2 * F.col("perhaps") >= F.col("plain")))
-    return sums.join(whole, "host").select("host", "class", "place", ((2 * F.col("furnished") < F.col("chars")) & F.when(F.col("regions"), inner).otherwise(outside)).alias("main"))
+    return sums.join(whole, "host").select("host", "class", "place", ((2 * F.col("furnished") < F.col("chars")) & F.when(F.col("regions"), inner).otherwise(outside)).alias("main"), "loud")
 
 
 def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -473,9 +509,9 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -
     fields = ["page", "tokens", "found", "times", "at", "sizes", "flags"]
     contents = written(kept.select(F.col("__host").alias("host"), *[F.col(f"__p.{c}").alias(c) for c in fields]).dropDuplicates(["host", "page"]), "contents")
     told = written(template(contents, written(classes(contents), "classes")), "template")
-    verdicts = judged(contents, told).groupBy("host").agg(F.collect_list(F.struct("class", "place", "main")).alias("v"))
-    by_host = told.groupBy("host").agg(F.collect_list(F.struct("token", "class", "place", "size")).alias("t")).join(verdicts, "host", "left")
-    learnt = written(by_host.select(F.col("host").alias("__host"), *[F.col(f"t.{c}").alias(f"__{c}") for c in ("token", "class", "place", "size")], *[F.col(f"v.{c}").alias(f"__v_{c}") for c in ("class", "place", "main")]), "slots")
+    verdicts = judged(contents, told).groupBy("host").agg(F.collect_list(F.struct("class", "place", "main", "loud")).alias("v"))
+    by_host = told.groupBy("host").agg(F.collect_list(F.struct("token", "class", "place", "size", "everywhere")).alias("t")).join(verdicts, "host", "left")
+    learnt = written(by_host.select(F.col("host").alias("__host"), *[F.col(f"t.{c}").alias(f"__{c}") for c in ("token", "class", "place", "size", "everywhere")], *[F.col(f"v.{c}").alias(f"__v_{c}") for c in ("class", "place", "main", "loud")]), "slots")
 
     @F.pandas_udf("text string, by_template boolean")
     def chosen(hosts: pd.Series, tokens: pd.Series, at: pd.Series, sizes: pd.Series, flags: pd.Series, texts: pd.Series, *learnt_: pd.Series) -> pd.DataFrame:
@@ -483,15 +519,16 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -
         out = []
         for name, tokens_, at_, sizes_, flags_, texts_, *t in zip(hosts, tokens, at, sizes, flags, texts, *learnt_):
             flags_ = flags_.tolist()
-            if t[0] is None or t[4] is None:
+            if t[0] is None or t[5] is None:
                 out.append((compose(texts_, flags_, by_labels(flags_)), False))
                 continue
             if name not in known:
                 x = [y.tolist() for y in t]
-                known[name] = {a: b for a, *b in zip(*x[:4])}, {(a, b): c for a, b, c in zip(*x[4:])}
-            places, main = known[name]
-            own = slots(tokens_.tolist(), at_.tolist(), places)
-            keep = choose(flags_, own, main)
+                known[name] = {a: b for a, *b in zip(*x[:4])}, {(a, b): (c, d) for a, b, c, d in zip(*x[5:])}, {a for a, e in zip(x[0], x[4]) if e}
+            places, main, notices = known[name]
+            tokens_, at_ = tokens_.tolist(), at_.tolist()
+            own = slots(tokens_, at_, places)
+            keep = choose(flags_, own, main, [n >= NOTICE_CHARS and tokens_[where] in notices for where, n in zip(at_, sizes_.tolist())])
             in_slots = sum(n for n, s in zip(sizes_.tolist(), own) if s in main)
             if any(keep):
                 out.append((compose(texts_, flags_, keep), 2 * in_slots >= sum(sizes_)))

@@ -15,6 +15,7 @@ smaller code; labels may be null (such rows teach nothing); with no labelled row
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -39,14 +40,24 @@ REMEMBERED = 100_000
 @dataclass
 class Model:
     """Row i of the words (size 0) and n-grams (size n) has the entries ``starts[i]`` up to ``starts[i + 1]``: languages, and how
-    much each one gains over a language that lacks it."""
+    much each one gains over a language that lacks it. ``grams`` has those of each size in the order of their rows, a line each."""
 
     langs: list[str]
-    places: list[dict[str, int]]
+    grams: list[str]
     starts: np.ndarray
     lang: np.ndarray
     gain: np.ndarray
 
+    @functools.cached_property
+    def places(self) -> list[dict[str, int]]:
+        """The row of each word and n-gram by size; built where the model is used."""
+        out, n = [], 0
+        for lines in self.grams:
+            own = lines.split("\n") if lines else []
+            out.append(dict(zip(own, range(n, n + len(own)))))
+            n += len(own)
+        return out
+
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     found: dict[str, Counter] = defaultdict(Counter)
@@ -57,7 +68,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "gram": list(counts), "n": list(counts.values())})
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", sample_docs: int = 30_000, least: int = 2) -> Model:
+def train(docs: DataFrame, *, id_col: str = "doc_id", sample_docs: int = 30_000, least: int = 3) -> Model:
     """``docs`` has an id, text and lang; rows with a null text or lang teach nothing."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), "text", "lang").filter("text is not null and lang is not null")
@@ -72,23 +83,24 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", sample_docs: int = 30_000,
     by_gram = vocabulary.select("lang", "n", F.explode(F.concat(*[pieces(n) for n in range(1, LONGEST + 1)])).alias("p")).filter(F.length("p.gram") == F.col("p.size")).groupBy("lang", "p.size", "p.gram").agg(F.sum("n").alias("n"))
     every = cut_lineage(vocabulary.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(by_gram))
     totals = every.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    return _model(every.filter(F.col("n") >= least).join(totals, ["lang", "size"]).select("lang", "size", "gram", "n", "total").toPandas())
+    return _model(every.filter(F.col("n") >= least).select("lang", F.col("size").cast("tinyint").alias("size"), "gram", "n").toPandas(), totals.toPandas())
 
 
-def _model(kept: pd.DataFrame) -> Model:
-    langs = sorted(kept["lang"].unique())
-    places: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    at, n = np.empty(len(kept), np.int64), 0
-    for i, (size, gram) in enumerate(zip(kept["size"], kept["gram"])):
-        at[i] = places[size].setdefault(gram, n)
-        n += at[i] == n
+def _model(kept: pd.DataFrame, totals: pd.DataFrame) -> Model:
+    langs = sorted(totals["lang"].unique())
+    total = {(x, k): n for x, k, n in zip(totals["lang"], totals["size"], totals["total"])}
+    kept = kept.sort_values(["size", "gram", "lang"], ignore_index=True)
+    new = ((kept["size"] != kept["size"].shift()) | (kept["gram"] != kept["gram"].shift())).to_numpy()
+    at, n = np.cumsum(new) - 1, int(new.sum())
     lang = kept["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
-    told = np.log(kept["n"].to_numpy(float) / (kept["total"].to_numpy(float) + 1))
+    of = np.array([total[x, k] for x, k in zip(kept["lang"], kept["size"])], float)
+    told = np.log(kept["n"].to_numpy(float) / (of + 1))
     best = np.full(n, -np.inf)
     np.maximum.at(best, at, told)
     gain = MOST + np.maximum(told - best[at], -MOST)
-    order = np.lexsort((lang, at))
-    return Model(langs, places, np.searchsorted(at[order], np.arange(n + 1)), lang[order].astype(np.int32), gain[order].astype(np.float32))
+    firsts = kept[new]
+    grams = ["\n".join(firsts.loc[firsts["size"] == k, "gram"]) for k in range(LONGEST + 1)]
+    return Model(langs, grams, np.searchsorted(at, np.arange(n + 1)), lang.astype(np.int32), gain.astype(np.float32))
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

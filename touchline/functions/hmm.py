@@ -89,3 +89,38 @@ def predict(beliefs: Column, boost: Column | None = None, params: Params = DEFAU
     """Mean and variance of the next observation."""
     ahead = moved(F.element_at(beliefs, -1)["belief"], F.lit(None).cast("array<double>") if boost is None else boost, params[0])
     return bind(ahead, lambda a: moments(a, params[1]))
+
+
+#: Below this a probability counts as this.
+LEAST = 1e-300
+
+
+def log_density(y: Column, mean: float, sd: float) -> Column:
+    return F.greatest(-0.5 * ((y - mean) / sd) * ((y - mean) / sd) - math.log(sd * math.sqrt(2 * math.pi)), F.lit(math.log(LEAST)))
+
+
+def viterbi(values: Column, params: Params = DEFAULT) -> Column:
+    """The likeliest states (from 0) over an ordered array of values; of equally likely ones the first. A fold keeps for each step from which
+    state the best way into each state came, and the way back is a second fold from the end."""
+    transition, emissions, initial = params
+    log = lambda p: math.log(p + LEAST)
+    start = F.struct(F.lit(None).cast("array<double>").alias("best"), F.array().cast("array<array<int>>").alias("back"))
+
+    def step(acc: Column, y: Column) -> Column:
+        at = [F.element_at(acc["best"], i + 1) for i in range(N)]
+        ways = F.array(*[F.array(*[at[i] + log(transition[i][j]) for i in range(N)]) for j in range(N)])
+
+        def entered(w: Column) -> Column:
+            best = F.transform(w, F.array_max)
+            seen = F.array(*[F.element_at(best, j + 1) + log_density(y, *emissions[j]) for j in range(N)])
+            back = F.transform(w, lambda x: (F.array_position(x, F.array_max(x)) - 1).cast("int"))
+            return F.struct(seen.alias("best"), F.concat(acc["back"], F.array(back)).alias("back"))
+
+        first = F.struct(F.array(*[log(initial[j]) + log_density(y, *emissions[j]) for j in range(N)]).alias("best"), acc["back"].alias("back"))
+        return F.when(acc["best"].isNull(), first).otherwise(bind(ways, entered))
+
+    def trace(done: Column) -> Column:
+        last = (F.array_position(done["best"], F.array_max(done["best"])) - 1).cast("int")
+        return F.aggregate(F.reverse(done["back"]), F.array(last), lambda path, b: F.concat(F.array(F.element_at(b, F.element_at(path, 1) + 1)), path))
+
+    return F.when(F.size(values) > 0, bind(F.aggregate(values, start, step), trace)).otherwise(F.array().cast("array<int>"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def inference_metrics(forecasts: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """``forecasts`` has mean, var and actual; one row (per group of ``by``): errors, interval coverage, mean deviation and likelihood."""
@@ -43,11 +45,10 @@ def optimization_metrics(points: DataFrame, oracle: DataFrame) -> DataFrame:
 
 
 def rank_shift(forecasts: DataFrame, a: str, b: str, key: str = "player_id", by: list[str] = ["gameweek"]) -> DataFrame:  # noqa: B006
-    """Each row's rank by two scores and the difference; ties to the smaller key."""
-    from pyspark.sql import Window
-
-    rank = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(c), key)).cast("long")
-    return forecasts.select(*by, key, rank(a).alias("rank_a"), rank(b).alias("rank_b")).withColumn("shift", F.col("rank_a") - F.col("rank_b"))
+    """Each row's rank by two scores and the difference; ties to the smaller key. No task needs a whole group."""
+    rows = forecasts.select(*by, key, F.col(a).alias("__a"), F.col(b).alias("__b"))
+    rows = ordered.ranked(ordered.ranked(rows, by, [F.desc("__a"), F.asc(key)], "rank_a"), by, [F.desc("__b"), F.asc(key)], "rank_b")
+    return rows.select(*by, key, "rank_a", "rank_b", (F.col("rank_a") - F.col("rank_b")).alias("shift"))
 
 
 def risk_ranking(forecasts: DataFrame, *, weight: float = 0.5, most: int = 20) -> DataFrame:

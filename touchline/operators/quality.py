@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gameweek import in_order
+from .ordered import exact_quantiles
 
 
 def missing_columns(df: DataFrame, needed: list[str]) -> list[str]:
@@ -42,8 +43,8 @@ def impute(df: DataFrame, columns: list[str], method: str = "mean") -> DataFrame
     if method == "zero":
         return df.fillna(0.0, columns)
     if method == "median":
-        fills = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in columns])
-    else:
-        fills = df.agg(*[F.avg(c).alias(f"__{c}") for c in columns])
+        found = {r["column"]: r["value"] for r in exact_quantiles(df, columns, [0.5]).collect()}
+        return df.withColumns({c: F.coalesce(F.col(c), F.lit(found.get(c)).cast("double")) for c in columns})
+    fills = df.agg(*[F.avg(c).alias(f"__{c}") for c in columns])
     # the fills are one row by construction, whatever the size of the table
     return df.crossJoin(F.broadcast(fills)).withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])

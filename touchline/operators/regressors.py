@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import exact_quantiles
+
 TARGET = "target"
 
 
@@ -101,11 +103,13 @@ def load(path: str, *, kind: str = "ridge"):
 def residual_quantiles(forecasts: DataFrame) -> DataFrame:
     """10, 50 and 90% of a forecast from the quantiles of errors by position; ``forecasts`` has position, mean and actual (null for what is to come).
 
-    In place of a neural quantile network. Quantiles are approximate beyond ten thousand distinct errors of a position.
+    The quantiles are exact and interpolated; a position without a known error has errors of 0.
     """
-    e = F.col("actual") - F.col("mean")
-    q = forecasts.groupBy("position").agg(F.percentile_approx(e, [0.1, 0.5, 0.9], 10_000).alias("q"))
-    low = lambda i: F.greatest(F.lit(0.0), F.col("mean") + F.coalesce(F.col("q")[i], F.lit(0.0)))
+    shares = [0.1, 0.5, 0.9]
+    found = exact_quantiles(forecasts.select("position", (F.col("actual") - F.col("mean")).alias("e")), ["e"], shares, by=["position"])
+    # a row for each position
+    q = found.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("share", "value"))).alias("q"))
+    low = lambda i: F.greatest(F.lit(0.0), F.col("mean") + F.coalesce(F.col("q")[i]["value"], F.lit(0.0)))
     return forecasts.join(q, "position", "left").withColumns({"p10": low(0), "p50": low(1), "p90": low(2)}).drop("q")
 
 

@@ -11,7 +11,7 @@ from touchline.operators import enriched as en
 from touchline.operators import features as ft
 from touchline.operators import forecast as fc
 from touchline.operators import gameweek as gk
-from touchline.operators import learned, metrics, regressors
+from touchline.operators import learned, metrics, ordered, regressors
 from touchline.sources import tables
 
 from . import sql as S
@@ -149,10 +149,20 @@ def inference_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fc.next_forecast(fc.series(signals), mode="calibrated_alpha")
 
 
-@query()
+@query(f"WITH RECURSIVE {S.VITERBI} SELECT player_id, t, state FROM p")
 def hmm_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = runs(spark, sf_dir).select("player_id", F.col("obs.y").alias("y"))
-    return learned.learn_scalar(y, fit=False).select("player_id", F.posexplode("path").alias("t", "state"))
+    """The likeliest states of every player, in the JVM throughout."""
+    return runs(spark, sf_dir).select("player_id", F.posexplode(hmm.viterbi(F.col("obs.y"))).alias("t", "state"))
+
+
+@query(f"""WITH {S.GW}, n AS (SELECT user_id AS player_id, {S.WEEK} AS told, event_id, CASE event_type WHEN 'error' THEN 'Ruled out for 3 weeks' WHEN 'click' THEN 'Doubtful for Saturday' WHEN 'view' THEN 'Rotation risk' WHEN 'signup' THEN 'Back in training' WHEN 'purchase' THEN '' END AS news_text FROM events WHERE event_type <> 'purchase'),
+j AS (SELECT g.player_id, g.gameweek, n.told, n.news_text, row_number() OVER (PARTITION BY g.player_id, g.gameweek ORDER BY n.told DESC, n.event_id DESC) AS r FROM gw g LEFT JOIN n ON n.player_id = g.player_id AND n.told < g.gameweek AND n.told >= g.gameweek - 2)
+SELECT player_id, gameweek, told, news_text FROM j WHERE r = 1""")
+def news_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the news last said of a player before each gameweek, no more than two gameweeks old; blank news say nothing."""
+    news = tables.news_snapshots(spark, sf_dir).filter("news_text != ''").select("player_id", F.col("gameweek").alias("told"), "event_id", "news_text")
+    rows = weekly(spark, sf_dir).select("player_id", "gameweek")
+    return ordered.as_of(rows, news, key="player_id", at="gameweek", told_at="told", values=["news_text"], ties=["event_id"], same_time=False, max_age=2)
 
 
 @query()
@@ -287,11 +297,14 @@ def gbt_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regressors.predict(regressors.fit(rows, [*_X, "rolling"], kind="boosted"), rows, [*_X, "rolling"]).select("player_id", "gameweek", "predicted")
 
 
-@query()
+@query(f"""WITH {S.ENRICHED}, q AS (SELECT position, quantile_cont(points - enr_mean, 0.1) AS a, quantile_cont(points - enr_mean, 0.5) AS b, quantile_cont(points - enr_mean, 0.9) AS c FROM enr GROUP BY ALL),
+p AS (SELECT player_id, gameweek, greatest(0, enr_mean + a) AS p10, greatest(0, enr_mean + b) AS p50, greatest(0, enr_mean + c) AS p90 FROM enr JOIN q USING (position))
+SELECT player_id, gameweek, round(p10 + 1e-9, 6) AS p10, round(p50 + 1e-9, 6) AS p50, round(p90 + 1e-9, 6) AS p90, round(p50 + 1e-9, 6) AS mean, round(greatest(0, p50 - p10) + 1e-9, 6) AS downside FROM p""")
 def quantile_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of the structural forecast from its errors by position, and what the squad choice takes of them."""
     f = en.enriched(weekly(spark, sf_dir)).select("player_id", "gameweek", "position", F.col("enr_mean").alias("mean"), F.col("points").cast("double").alias("actual"))
-    return regressors.from_quantiles(regressors.residual_quantiles(f)).select("player_id", "gameweek", "p10", "p50", "p90", "mean", "downside")
+    out = regressors.from_quantiles(regressors.residual_quantiles(f))
+    return out.select("player_id", "gameweek", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("p10", "p50", "p90", "mean", "downside")])
 
 
 @query(f"WITH {S.GW}, n AS (SELECT player_id, count(DISTINCT gameweek) AS n FROM gw GROUP BY ALL) SELECT n.player_id::VARCHAR AS group_id, n FROM n WHERE n >= (SELECT least(24, max(n) - 1) + 1 FROM n)")

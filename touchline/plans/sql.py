@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from touchline import fixed
 
 N = len(fixed.STATES)
@@ -127,3 +129,23 @@ def rounded(columns: list[str], digits: int = 6) -> str:
 def steady(columns: list[str]) -> str:
     """To six digits; a value just at a boundary is moved off it first, since engines differ there by their last bits."""
     return ", ".join(f"round({c} + 1e-9, 6) AS {c.split('.')[-1]}" for c in columns)
+
+
+def _viterbi() -> str:
+    """The forward pass by recursion over t, five best ways and where each came from; then the way back."""
+    log = lambda p: repr(math.log(p + 1e-300)) + "e0"
+    seen = lambda y, j: f"greatest(-0.5e0 * (({y} - {fixed.EMISSIONS[j][0]}e0) / {fixed.EMISSIONS[j][1]}e0) * (({y} - {fixed.EMISSIONS[j][0]}e0) / {fixed.EMISSIONS[j][1]}e0) - {math.log(fixed.EMISSIONS[j][1] * math.sqrt(2 * math.pi))!r}e0, {math.log(1e-300)!r}e0)"
+    ways = [[f"(v.b{i} + {log(fixed.TRANSITION[i][j])})" for i in range(N)] for j in range(N)]
+    first_of = lambda xs: "CASE " + " ".join(f"WHEN {x} >= greatest({', '.join(xs)}) THEN {i}" for i, x in enumerate(xs)) + " END"
+    first = ", ".join(f"{log(fixed.INITIAL[j])} + {seen('y', j)} AS b{j}, 0 AS f{j}" for j in range(N))
+    later = ", ".join(f"greatest({', '.join(ways[j])}) + {seen('o.y', j)}, {first_of(ways[j])}" for j in range(N))
+    ends = first_of([f"v.b{j}" for j in range(N)])
+    came = "CASE p.state " + " ".join(f"WHEN {j} THEN v.f{j}" for j in range(N)) + " END"
+    return f"""{OBS},
+v AS (SELECT player_id, t, {first} FROM o WHERE t = 0 UNION ALL SELECT o.player_id, o.t, {later} FROM v JOIN o ON o.player_id = v.player_id AND o.t = v.t + 1),
+p AS (SELECT v.player_id, v.t, {ends} AS state FROM v JOIN (SELECT player_id, max(t) AS t FROM o GROUP BY ALL) l ON l.player_id = v.player_id AND l.t = v.t
+    UNION ALL SELECT v.player_id, v.t - 1, {came} FROM p JOIN v ON v.player_id = p.player_id AND v.t = p.t WHERE p.t > 0)"""
+
+
+#: needs WITH RECURSIVE
+VITERBI = _viterbi()

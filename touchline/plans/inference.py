@@ -11,7 +11,7 @@ from touchline.operators import enriched as en
 from touchline.operators import features as ft
 from touchline.operators import forecast as fc
 from touchline.operators import gameweek as gk
-from touchline.operators import learned, metrics, ordered, regressors
+from touchline.operators import learned, metrics, ordered, quantile, regressors
 from touchline.sources import tables
 
 from . import sql as S
@@ -313,3 +313,29 @@ def panel_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("group_id").agg(F.count_distinct("time_idx").alias("n"))
 
 
+
+
+_ENC = 15
+
+
+@query(f"""WITH {S.GW}, p AS (SELECT player_id, gameweek, position, points, least(1e0, minutes / 90e0) AS m, was_home, row_number() OVER (PARTITION BY player_id ORDER BY gameweek) AS i FROM gw)
+SELECT a.player_id::VARCHAR AS group_id, CAST(a.gameweek AS INTEGER) AS time_idx, string_agg(CAST(b.points AS VARCHAR), ' ' ORDER BY b.i) AS enc_points, round(avg(b.m), 6) AS mean_minutes, CAST(any_value(a.was_home) AS DOUBLE) AS home, CAST(any_value(a.points) AS DOUBLE) AS target
+FROM p a JOIN p b ON b.player_id = a.player_id AND b.i BETWEEN a.i - {_ENC} AND a.i - 1 GROUP BY a.player_id, a.gameweek HAVING count(*) = {_ENC}""")
+def quantile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows that the quantile models read: the points of the gameweeks before, their mean share of minutes, and what is known of the target."""
+    rows = quantile.windows(en.panel(weekly(spark, sf_dir)), encoder=_ENC)
+    points = F.array_join(F.transform("enc_actual_points", lambda v: v.cast("long").cast("string")), " ")
+    mean = F.aggregate("enc_mins_frac", F.lit(0.0), lambda s, v: s + v) / _ENC
+    return rows.select("group_id", "time_idx", points.alias("enc_points"), F.round(mean, 6).alias("mean_minutes"), F.element_at("dec_is_home", 1).alias("home"), F.element_at("target", 1).alias("target"))
+
+
+@query()
+def quantile_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10, 50 and 90% quantiles of every player's points in each gameweek, by models that know nothing after their cutoff."""
+    return quantile.forecast(en.panel(weekly(spark, sf_dir)), encoder=_ENC).select("group_id", "time_idx", "cutoff", *[F.round(c, 4).alias(c) for c in ("p10", "p50", "p90")])
+
+
+@query()
+def quantile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often outcomes fell below the forecast quantiles, by cutoff."""
+    return quantile.coverage(quantile.forecast(en.panel(weekly(spark, sf_dir)), encoder=_ENC), ["cutoff"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline import fixed
 from touchline.operators import enriched as en
 from touchline.operators import gameweek as gk
-from touchline.operators import metrics, relaxation
+from touchline.operators import metrics, quantile, relaxation
 from touchline.operators import squad as sq
 from touchline.operators.lineage import written
 
@@ -165,14 +165,17 @@ STRATEGIES = [
 ]
 
 
+#: the median of the quantile models less a part of its distance to the 10% quantile, by weight
+QUANTILE = [(f"quantile_{w}", w) for w in (0.0, 0.5, 1.0)]
 #: strategies that choose by another way than the exact one: optimizer, forecast
 OTHERS = (("greedy_rolling", sq.greedy_squad, "rolling"), ("lagrangian_enr", sq.lagrangian, "enr_mean"))
 
 
-def walk_forward(rows: DataFrame, *, strategies: list[tuple] = STRATEGIES, others: tuple[tuple, ...] = (), budget: float = fixed.BUDGET, least_history: int = 5, least_players: int = 50) -> tuple[DataFrame, DataFrame]:
+def walk_forward(rows: DataFrame, *, strategies: list[tuple] = STRATEGIES, others: tuple[tuple, ...] = (), quantiles: dict | None = None, budget: float = fixed.BUDGET, least_history: int = 5, least_players: int = 50) -> tuple[DataFrame, DataFrame]:
     """Every strategy's points in every gameweek (strategy, gameweek, points, exact), and the best in hindsight (gameweek, points, exact).
 
     Each strategy and gameweek is a problem of its own; all are solved in parallel. A gameweek without a legal squad gives no row.
+    ``quantiles`` (arguments of ``quantile.forecast``) adds the strategies by quantiles, from the first cutoff on.
     """
     valid = gk.valid_players(rows, least_history=least_history, least_players=least_players).select("player_id", "gameweek")
     said = forecasts(rows).join(valid, ["player_id", "gameweek"], "left_semi")
@@ -180,7 +183,14 @@ def walk_forward(rows: DataFrame, *, strategies: list[tuple] = STRATEGIES, other
     risk = lambda c: F.lit(0.0) if c is None else F.sqrt(F.greatest(F.col(c), F.lit(0.0))) if c.endswith("var") else F.col(c)
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.round(F.col(m), 6).alias("mean"), F.round(F.col(m) - w * risk(r), 6).alias("score")) for n, m, r, w in strategies], F.struct(F.lit("oracle").alias("strategy"), F.col("actual").alias("mean"), F.col("actual").alias("score")))).alias("s")
     long = said.select("player_id", "gameweek", "position", "team", "price_tenths", each)
-    chosen = sq.exact(candidates(long, F.concat_ws("|", F.col("s.strategy"), F.col("gameweek")), F.col("s.mean"), F.col("s.score")), budget=budget)
+    problems = candidates(long, F.concat_ws("|", F.col("s.strategy"), F.col("gameweek")), F.col("s.mean"), F.col("s.score"))
+    if quantiles:
+        # gameweeks before the first cutoff, and players without a window, have no quantiles: all of the one, and those of the other, drop out
+        told = quantile.forecast(en.panel(rows), **quantiles).select(F.col("group_id").cast("long").alias("player_id"), F.col("time_idx").cast("long").alias("gameweek"), "p50", F.greatest(F.lit(0.0), F.col("p50") - F.col("p10")).alias("fall"))
+        each_q = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.round("p50", 6).alias("mean"), F.round(F.col("p50") - w * F.col("fall"), 6).alias("score")) for n, w in QUANTILE])).alias("s")
+        held = rows.select("player_id", "gameweek", "position", "team", "price_tenths").join(valid, ["player_id", "gameweek"], "left_semi").join(told, ["player_id", "gameweek"]).select("gameweek", "player_id", "position", "team", "price_tenths", each_q)
+        problems = problems.unionByName(candidates(held, F.concat_ws("|", F.col("s.strategy"), F.col("gameweek")), F.col("s.mean"), F.col("s.score")))
+    chosen = sq.exact(problems, budget=budget)
     for name, choose, m in others:
         of = candidates(said, F.concat_ws("|", F.lit(name), F.col("gameweek")), F.round(m, 6), F.round(m, 6))
         chosen = chosen.unionByName(choose(of, budget=budget))
@@ -194,7 +204,7 @@ def walk_forward(rows: DataFrame, *, strategies: list[tuple] = STRATEGIES, other
 def walk_forward_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How every strategy would have fared, gameweek after gameweek; n_unproven counts its squads without a proof, n_best_unproven the gameweeks
     whose best squad lacks one, for which gaps are understated."""
-    got, best = walk_forward(weekly(spark, sf_dir), others=OTHERS, budget=TIGHT)
+    got, best = walk_forward(weekly(spark, sf_dir), others=OTHERS, quantiles={"encoder": 10}, budget=TIGHT)
     proofs = got.join(best.select("gameweek", F.col("exact").alias("b")), "gameweek").groupBy("strategy").agg(F.count_if(~F.col("exact")).alias("n_unproven"), F.count_if(~F.col("b")).alias("n_best_unproven"))
     return metrics.optimization_metrics(got.drop("exact"), best.drop("exact")).join(proofs, "strategy")
 

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,12 +97,11 @@ def _counted(size: int, bits: int, last: bool, frequent, admitted):
     first pass all words of a language (both null)."""
 
     def chunk(lang: str, words: list[bytes]) -> Iterator[pd.DataFrame]:
-        seen: dict[bytes, int] = {}
-        ids = np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
-        vocabulary = list(seen)
+        coded = pa.array(words, pa.large_binary()).dictionary_encode()
+        ids, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
         hashed = np.array([xxhash.xxh64_intdigest(w) for w in vocabulary], np.uint64)[ids]
         seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 1)
-        edges = ids == seen[EDGE] if EDGE in seen else np.zeros(len(ids), bool)
+        edges = ids == vocabulary.index(EDGE) if EDGE in vocabulary else np.zeros(len(ids), bool)
         own = phrase_hashes(hashed, size, seed)
         fine = within(edges, size)
         if size > 1:

@@ -69,10 +69,14 @@ def blended(rows: DataFrame, *, news: DataFrame | None = None) -> DataFrame:
     return both.select("player_id", *[c.alias(n) for n, c in said.items()])
 
 
+def _features(rows: DataFrame, columns: list[str] | None) -> tuple[DataFrame, list[str]]:
+    wide = features.features(rows)
+    return wide, columns or [c for c in features.feature_names() if c in wide.columns]
+
+
 def regression(rows: DataFrame, *, kind: str = "ridge", columns: list[str] | None = None) -> DataFrame:
     """A regression of the next gameweek's points on the features of all players."""
-    wide = features.features(rows)
-    columns = columns or [c for c in features.feature_names() if c in wide.columns]
+    wide, columns = _features(rows, columns)
     known = wide.withColumn(regressors.TARGET, F.lead("points").over(gameweek.in_order()).cast("double"))
     model = regressors.fit(known, columns, kind=kind)
     said = regressors.predict(model, features.latest(wide), columns, as_="mean")
@@ -104,6 +108,36 @@ class SquadPlanner:
         penalty = F.col("downside") if by == "downside" else F.sqrt(F.greatest(F.col("var"), F.lit(0.0)))
         return forecasts.select(F.lit("squad").alias("problem"), "player_id", "position", "team", "price_tenths", (F.col("mean") - risk * penalty).alias("score"), "mean")
 
+    def fit(self, path: str, *, kind: str = "ridge", columns: list[str] | None = None) -> DataFrame:
+        """Fit the regression of the next gameweek's points and save it at ``path``; gives its forecasts of the coming gameweek. ``fitted`` reads it again."""
+        wide, columns = _features(self.rows, columns)
+        known = wide.withColumn(regressors.TARGET, F.lead("points").over(gameweek.in_order()).cast("double"))
+        regressors.save(regressors.fit(known, columns, kind=kind), path)
+        return self.fitted(path, kind=kind, columns=columns)(self.rows)
+
+    @staticmethod
+    def fitted(path: str, *, kind: str = "ridge", columns: list[str] | None = None) -> Model:
+        """A saved regression as a model, for any later rows."""
+
+        def forecast(rows: DataFrame) -> DataFrame:
+            wide, names = _features(rows, columns)
+            said = regressors.predict(regressors.load(path, kind=kind), features.latest(wide), names, as_="mean")
+            return squad.with_spread(said.select("player_id", "mean"))
+
+        return forecast
+
+    @staticmethod
+    def with_news(news: DataFrame) -> Model:
+        """The blended model with what ``news`` (player_id, news_text, and gameweek where there are several) last said of each player."""
+        last = news.groupBy("player_id").agg(F.max_by("news_text", "gameweek").alias("news_text")) if "gameweek" in news.columns else news
+        return lambda rows: blended(rows, news=last)
+
+    def backtest(self, path: str, **how) -> DataFrame:
+        """Points and gaps of every strategy over all gameweeks. Results are kept by gameweek at ``path``: a run that broke off goes on there."""
+        from touchline.plans import backtest
+
+        return backtest.summary(backtest.run(self.rows, path, budget=self.config.get("budget", fixed.BUDGET), **how))
+
     def squad(self, model: str | Model = "structural", *, optimizer: str | Optimizer = "exact", risk: float = 0.0, fixtures: DataFrame | None = None) -> DataFrame:
         choose = OPTIMIZERS[optimizer] if isinstance(optimizer, str) else optimizer
         return choose(self.candidates(self.forecast(model, fixtures=fixtures), risk=risk), budget=self.config.get("budget", fixed.BUDGET), cap=self.config.get("club_cap", fixed.CLUB_CAP))

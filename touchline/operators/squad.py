@@ -102,6 +102,38 @@ def greedy(candidates: DataFrame, *, budget: float = fixed.BUDGET, cap: int = fi
     return done.select("problem", F.posexplode("picked").alias("pick", "x")).select("problem", F.col("x.id").alias("player_id"), (F.col("pick") + 1).cast("long").alias("pick"))
 
 
+def fillable(candidates: DataFrame) -> DataFrame:
+    """problem and formation: those that each problem's candidates suffice for."""
+    counts = candidates.groupBy("problem").agg(*[F.count_if(F.col("position") == p).alias(f"n_{p}") for p in fixed.POSITIONS])
+    d, m, f = (F.col(c) for c in "dmf")
+    ways = F.broadcast(formations(candidates.sparkSession))  # eight rows
+    return counts.filter("n_GK >= 1").join(ways, (d <= F.col("n_DEF")) & (m <= F.col("n_MID")) & (f <= F.col("n_FWD"))).select("problem", "formation")
+
+
+def requested_lineup(squads: DataFrame, *, formation: str = "4-4-2", by: str = "mean") -> DataFrame:
+    """Roles as ``lineup`` gives them in the ``formation``; squads that can't fill it line up in their best one. Adds formation."""
+    fits = fillable(squads).filter(F.col("formation") == formation)
+    other = best_formation(squads.join(fits, "problem", "left_anti"), by).select("problem", "formation")
+    ways = fits.unionByName(other)
+    lines = F.split("formation", "-")
+    need = F.when(F.col("position") == "GK", 1)
+    for i, p in enumerate(fixed.POSITIONS[1:]):
+        need = need.when(F.col("position") == p, lines[i].cast("int"))
+    out = ranked(squads, by).join(ways, "problem").withColumn("role", F.when(F.col("rank") <= need, "starter").otherwise("bench"))
+    best = F.row_number().over(Window.partitionBy("problem", "role").orderBy(F.desc(by), "player_id"))
+    return out.withColumn("is_captain", (F.col("role") == "starter") & (best == 1)).drop("rank")
+
+
+def with_spread(forecasts: DataFrame, variances: DataFrame | None = None, downsides: DataFrame | None = None, *, keys: list[str] = ["player_id"], var: float = 4.0) -> DataFrame:  # noqa: B006
+    """``forecasts`` with var and downside joined by ``keys`` (from columns of those names); a player without a variance has ``var``, one without a downside
+    the root of half its variance."""
+    out = forecasts.drop("var", "downside")
+    for name, of in (("var", variances), ("downside", downsides)):
+        out = out.withColumn(name, F.lit(None).cast("double")) if of is None else out.join(of.select(*keys, F.col(name).cast("double").alias(name)).dropDuplicates(keys), keys, "left")
+    out = out.withColumn("var", F.coalesce("var", F.lit(var)))
+    return out.withColumn("downside", F.coalesce("downside", F.sqrt(F.greatest(F.lit(0.0), F.col("var")) / 2)))
+
+
 def lineup(squads: DataFrame, *, formation: str = "4-4-2", by: str = "mean") -> DataFrame:
     """Roles in given squads (problem, player_id, position and the score): starters by rank in a fixed formation, the captain the best of them."""
     d, m, f = map(int, formation.split("-"))

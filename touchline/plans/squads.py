@@ -47,9 +47,12 @@ def squad_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.validate(sq.lineup(r.filter(F.col("rank") <= quota).drop("rank")))
 
 
-@query("SELECT d, m, f, d || '-' || m || '-' || f AS formation FROM range(3, 6) a(d), range(2, 6) b(m), range(1, 4) c(f) WHERE d + m + f = 10")
+@query(f"""WITH {S.GW}, c AS (SELECT gameweek, count(*) FILTER (position = 'GK') AS g, count(*) FILTER (position = 'DEF') AS nd, count(*) FILTER (position = 'MID') AS nm, count(*) FILTER (position = 'FWD') AS nf FROM gw WHERE minutes > 0 GROUP BY ALL)
+SELECT gameweek, d || '-' || m || '-' || f AS formation FROM c, range(3, 6) a(d), range(2, 6) b(m), range(1, 4) x(f) WHERE d + m + f = 10 AND g >= 1 AND nd >= d AND nm >= m AND nf >= f""")
 def valid_formations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.formations(spark)
+    """The formations that the players on the field in each gameweek could fill."""
+    rows = weekly(spark, sf_dir).filter("minutes > 0")
+    return sq.fillable(candidates(rows, F.col("gameweek"), F.col("points"), F.col("points"))).select(F.col("problem").cast("long").alias("gameweek"), "formation")
 
 
 @query(f"WITH {S.GW}, r AS (SELECT gameweek, position, player_id, points, row_number() OVER (PARTITION BY gameweek, position ORDER BY points DESC, player_id) AS rank FROM gw) SELECT * FROM r WHERE rank <= 5")
@@ -88,7 +91,19 @@ def optimization_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.optimization_metrics(points, rows.groupBy("gameweek").agg(F.sum("points").alias("points"))), ["mean", "sd", "mean_gap", "cv", "percent_of_best"])
 
 
-@query()
+#: The greedy fold as a recursion over candidates in order: what is left to spend, picks by position, and the ids and clubs picked.
+_GREEDY = f"""{S.ENRICHED}, k AS (SELECT gameweek::VARCHAR AS problem, player_id, position, team, price_tenths, round(enr_mean, 6) AS mean, CASE position WHEN 'GK' THEN 1 WHEN 'DEF' THEN 2 WHEN 'MID' THEN 3 ELSE 4 END AS place FROM enr),
+c AS (SELECT *, CASE place WHEN 1 THEN 2 WHEN 4 THEN 3 ELSE 5 END AS quota, row_number() OVER (PARTITION BY problem ORDER BY place, mean / greatest(price_tenths / 10e0, 0.1e0) DESC, player_id) AS i FROM k),
+s AS (SELECT DISTINCT problem, CAST(0 AS BIGINT) AS i, CAST({round(TIGHT * 10)} AS BIGINT) AS rest, CAST([] AS BIGINT[]) AS ids, '' AS places, '' AS teams FROM c
+    UNION ALL SELECT problem, i, CASE WHEN fits THEN rest - price_tenths ELSE rest END, CASE WHEN fits THEN list_append(ids, player_id) ELSE ids END, CASE WHEN fits THEN places || place ELSE places END, CASE WHEN fits THEN teams || team ELSE teams END
+    FROM (SELECT c.problem, c.i, rest, ids, places, teams, price_tenths, CAST(player_id AS BIGINT) AS player_id, '|' || place || '|' AS place, '|' || team || '|' AS team,
+        (length(places) - length(replace(places, '|' || c.place || '|', ''))) // length('|' || c.place || '|') < quota AND (length(teams) - length(replace(teams, '|' || c.team || '|', ''))) // length('|' || c.team || '|') < 3 AND price_tenths <= rest AS fits FROM s JOIN c ON c.problem = s.problem AND c.i = s.i + 1)),
+done AS (SELECT problem, unnest(ids) AS player_id, generate_subscripts(ids, 1) AS pick FROM s JOIN (SELECT problem, max(i) AS i FROM c GROUP BY ALL) USING (problem, i) WHERE len(ids) = 15),
+r AS (SELECT d.problem, d.player_id, k.position, k.mean, d.pick, row_number() OVER (PARTITION BY d.problem, k.position ORDER BY k.mean DESC, d.player_id) AS rank FROM done d JOIN k USING (problem, player_id)),
+l AS (SELECT *, CASE WHEN rank <= CASE position WHEN 'GK' THEN 1 WHEN 'FWD' THEN 2 ELSE 4 END THEN 'starter' ELSE 'bench' END AS role FROM r)"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT problem, player_id, position, CAST(pick AS BIGINT) AS pick, role, role = 'starter' AND row_number() OVER (PARTITION BY problem, role ORDER BY mean DESC, player_id) = 1 AS is_captain FROM l")
 def greedy_squad(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = structural(spark, sf_dir)
     return sq.lineup(sq.greedy(c, budget=TIGHT).join(c, ["problem", "player_id"])).select("problem", "player_id", "position", "pick", "role", "is_captain")
@@ -171,15 +186,18 @@ QUANTILE = [(f"quantile_{w}", w) for w in (0.0, 0.5, 1.0)]
 OTHERS = (("greedy_rolling", sq.greedy_squad, "rolling"), ("lagrangian_enr", sq.lagrangian, "enr_mean"))
 
 
-def walk_forward(rows: DataFrame, *, strategies: list[tuple] = STRATEGIES, others: tuple[tuple, ...] = (), quantiles: dict | None = None, budget: float = fixed.BUDGET, least_history: int = 5, least_players: int = 50) -> tuple[DataFrame, DataFrame]:
+def walk_forward(rows: DataFrame, *, strategies: list[tuple] = STRATEGIES, others: tuple[tuple, ...] = (), quantiles: dict | None = None, budget: float = fixed.BUDGET, least_history: int = 5, least_players: int = 50, said: DataFrame | None = None, gameweeks: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Every strategy's points in every gameweek (strategy, gameweek, points, exact), and the best in hindsight (gameweek, points, exact).
 
     Each strategy and gameweek is a problem of its own; all are solved in parallel. A gameweek without a legal squad gives no row.
+    ``said`` are forecasts made before, ``gameweeks`` those to choose for (all).
     ``quantiles`` (arguments of ``quantile.forecast``) adds the strategies by quantiles, from the first cutoff on.
     """
     valid = gk.valid_players(rows, least_history=least_history, least_players=least_players).select("player_id", "gameweek")
-    said = forecasts(rows).join(valid, ["player_id", "gameweek"], "left_semi")
-    said = said.persist() if others else said  # each way to choose reads the forecasts; a lost part is computed again
+    if gameweeks is not None:
+        valid = valid.filter(F.col("gameweek").isin(gameweeks))
+    said = (forecasts(rows) if said is None else said).join(valid, ["player_id", "gameweek"], "left_semi")
+    said = written(said) if others else said  # each way to choose reads the forecasts
     risk = lambda c: F.lit(0.0) if c is None else F.sqrt(F.greatest(F.col(c), F.lit(0.0))) if c.endswith("var") else F.col(c)
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.round(F.col(m), 6).alias("mean"), F.round(F.col(m) - w * risk(r), 6).alias("score")) for n, m, r, w in strategies], F.struct(F.lit("oracle").alias("strategy"), F.col("actual").alias("mean"), F.col("actual").alias("score")))).alias("s")
     long = said.select("player_id", "gameweek", "position", "team", "price_tenths", each)

@@ -5,6 +5,7 @@ An addition to the batch readers: it does continuously what collecting a gamewee
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,8 +42,8 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, *, once: bool = True)
             held = spark.read.parquet(path).filter(F.col("gameweek").isin(weeks)).select(*batch.columns)
             # read whole before its folders are replaced
             both = newest(held.unionByName(batch)).checkpoint()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             both = newest(batch)
         both.repartition("gameweek").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("gameweek").parquet(path)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, scratch
 
 #: Copies of one document that may meet in one group.
 TOGETHER = 256
@@ -178,6 +178,10 @@ def pack_documents(docs: DataFrame, *, size: int = 2048, end_id: int = 1, group_
     rows = docs.select("doc_id", "text", own.alias("own"), F.xxhash64("doc_id", "text").alias("h"))
     # rows that repeat are counted and dealt as numbered copies, so that they go to many groups, and to the same ones when a task runs again
     often = rows.groupBy("doc_id", "own", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    # as a table its size is known: where few rows repeat Spark broadcasts it, and no text moves for it
+    path = scratch(docs.sparkSession, "repeated")
+    often.write.parquet(path)
+    often = docs.sparkSession.read.parquet(path)
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "own", "h")]
     once = rows.alias("a").join(often.alias("b"), same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
     counted = rows.alias("a").join(often.alias("b"), same, "left_semi").groupBy("doc_id", "text", "own", "h").agg(F.count("*").alias("n"))

@@ -21,7 +21,7 @@ def rows(spark):
     return weekly(spark, "/root/testdata/sf0.01").filter("gameweek <= 10").checkpoint()
 
 
-@pytest.mark.parametrize("name", ["greedy_squad", "valid_formations"])
+@pytest.mark.parametrize("name", ["greedy_squad", "greedy_summary", "valid_formations"])
 def test_queries_equal_their_sql(spark, name):
     check(catalog.queries()[name], catalog.oracle_sql()[name], spark, "/root/testdata/sf0.01")
 

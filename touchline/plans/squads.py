@@ -167,6 +167,14 @@ def squad_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.summary(sq.exact(c, budget=TIGHT), c)
 
 
+@query(f"WITH RECURSIVE {_GREEDY}, x AS (SELECT l.*, k.price_tenths FROM l JOIN k USING (problem, player_id)) SELECT problem, '4-4-2' AS formation, round(sum(mean) FILTER (role = 'starter'), 2) AS expected, round(sum(price_tenths) / 10e0, 1) AS cost, arg_min(player_id, (-mean, player_id)) FILTER (role = 'starter') AS captain FROM x GROUP BY problem")
+def greedy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the greedy squads are expected to score and cost, lined up in 4-4-2."""
+    c = structural(spark, sf_dir)
+    squads = sq.greedy(c, budget=TIGHT).join(c, ["problem", "player_id"])
+    return sq.summary(sq.requested_lineup(squads).drop("price_tenths", "mean"), c)
+
+
 @query()
 def lagrangian_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The squads that the multiplier's steps met, with captain and vice-captain."""

@@ -10,7 +10,7 @@ LINEUP_MOST = {"GK": 1, "DEF": 5, "MID": 5, "FWD": 3}
 SQUAD_SIZE, LINEUP_SIZE = 15, 11
 BUDGET, CLUB_CAP = 100.0, 3
 POSITION_NAMES = {
-    "GK": "GK", "GKP": "GK", "Goalkeeper": "GK", "DEF": "DEF", "Defender": "DEF", "MID": "MID", "Midfielder": "MID", "FWD": "FWD", "Forward": "FWD", "1": "GK", "2": "DEF", "3": "MID", "4": "FWD",
+    "1": "GK", "2": "DEF", "3": "MID", "4": "FWD", "GK": "GK", "GKP": "GK", "DEF": "DEF", "MID": "MID", "FWD": "FWD", "Goalkeeper": "GK", "Defender": "DEF", "Midfielder": "MID", "Forward": "FWD",
 }
 
 # Points by position.

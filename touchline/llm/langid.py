@@ -83,7 +83,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", sample_docs: int = 30_000,
     by_gram = vocabulary.select("lang", "n", F.explode(F.concat(*[pieces(n) for n in range(1, LONGEST + 1)])).alias("p")).filter(F.length("p.gram") == F.col("p.size")).groupBy("lang", "p.size", "p.gram").agg(F.sum("n").alias("n"))
     every = cut_lineage(vocabulary.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(by_gram))
     totals = every.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    return _model(every.filter(F.col("n") >= least).select("lang", F.col("size").cast("tinyint").alias("size"), "gram", "n").toPandas(), totals.toPandas())
+    return _model(every.filter(F.col("n") >= least).select("lang", F.col("size").cast("tinyint").alias("size"), "gram", "n").toArrow().to_pandas(), totals.toArrow().to_pandas())
 
 
 def _model(kept: pd.DataFrame, totals: pd.DataFrame) -> Model:

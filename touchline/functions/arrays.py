@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -20,6 +21,21 @@ def total(xs: list[Column]) -> Column:
     return out
 
 
+def divided(a: Column, b: Column) -> Column:
+    """``a`` by ``b`` of at least 0 as floating point has it: by zero it is infinite, or NaN where ``a`` is zero too."""
+    return F.when(b == 0, a * F.lit(math.inf)).otherwise(a / b)
+
+
+def nearest(value: Column, digits: int) -> Column:
+    """To ``digits`` as DuckDB has it: the shifted value goes to the nearest whole number, halves away from zero."""
+
+    def whole(x: Column) -> Column:
+        size = F.abs(x)
+        return F.signum(x) * (F.rint(size) + F.when(size - F.rint(size) == 0.5, 1.0).otherwise(0.0)) / 10.0**digits
+
+    return bind(bind(value * 10.0**digits, whole), lambda x: F.when(F.abs(x) < math.inf, x).otherwise(value))
+
+
 def ewma(values: Column, alpha: float) -> Column:
     """The last exponentially weighted mean of an ordered array; it starts at the first value, 0 for none."""
     start = F.struct(F.lit(0.0).alias("y"), F.lit(True).alias("first"))

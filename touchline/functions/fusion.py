@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def fuse(mean_a: Column, var_a: Column, mean_b: Column, var_b: Column, floor: float = 1e-6) -> Column:
     """By inverse variance; variances are at least ``floor``."""
-    wa, wb = 1 / F.greatest(var_a, F.lit(floor)), 1 / F.greatest(var_b, F.lit(floor))
-    return F.struct(((wa * mean_a + wb * mean_b) / (wa + wb)).alias("mean"), (1 / (wa + wb)).alias("var"))
+    va, vb = F.greatest(var_a, F.lit(floor)), F.greatest(var_b, F.lit(floor))
+    return F.struct(((mean_a / va + mean_b / vb) / (1 / va + 1 / vb)).alias("mean"), (1 / (1 / va + 1 / vb)).alias("var"))
 
 
 def blend(weight: Column, mean_a: Column, var_a: Column, mean_b: Column, var_b: Column) -> Column:

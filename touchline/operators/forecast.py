@@ -32,19 +32,19 @@ def with_signals(df: DataFrame, snapshots: DataFrame | None = None, difficulty:
     return out.withColumn("r", fixtures.noise_factor(F.col(difficulty)) if difficulty else null.cast("double"))
 
 
-def series(df: DataFrame, points: str = "points") -> DataFrame:
-    """One row per player: its observations in order, and the arrays that the folds make of them."""
+def series(df: DataFrame, points: str = "points", *, undefined: bool = False) -> DataFrame:
+    """One row per player: its observations in order, and the arrays that the folds make of them; ``undefined`` as in ``hmm``."""
     cols = [c for c in ("boost", "q", "r") if c in df.columns]
     kinds = {"boost": "array<double>", "q": "double", "r": "double"}
     rest = [F.lit(None).cast(kinds[c]).alias(c) for c in kinds if c not in cols]
     obs = F.array_sort(F.collect_list(F.struct("gameweek", F.col(points).cast("double").alias("y"), *cols, *rest)))
     out = df.groupBy("player_id").agg(obs.alias("obs"))
-    out = out.withColumn("kf", kalman.kalman_filter(F.col("obs"))).withColumn("hm", hmm.forward(F.col("obs")))
+    out = out.withColumn("kf", kalman.kalman_filter(F.col("obs"))).withColumn("hm", hmm.forward(F.col("obs"), undefined=undefined))
     return out
 
 
-def smoothed(runs: DataFrame) -> DataFrame:
-    return runs.withColumn("kf_smooth", kalman.kalman_smooth(F.col("kf"))).withColumn("hm_smooth", hmm.smooth(F.col("obs"), F.col("hm")))
+def smoothed(runs: DataFrame, *, undefined: bool = False) -> DataFrame:
+    return runs.withColumn("kf_smooth", kalman.kalman_smooth(F.col("kf"))).withColumn("hm_smooth", hmm.smooth(F.col("obs"), F.col("hm"), undefined=undefined))
 
 
 def one_step(runs: DataFrame) -> DataFrame:
@@ -86,9 +86,9 @@ def next_forecast(runs: DataFrame, *, mode: str = "precision") -> DataFrame:
     return out.withColumn("__f", joint).select("player_id", F.col("__k.mean").alias("kf_mean"), F.col("__k.var").alias("kf_var"), F.col("__h.mean").alias("hmm_mean"), F.col("__h.var").alias("hmm_var"), "alpha", F.col("__f.mean").alias("fused_mean"), F.col("__f.var").alias("fused_var"))
 
 
-def fused_sequence(runs: DataFrame) -> DataFrame:
+def fused_sequence(runs: DataFrame, *, undefined: bool = False) -> DataFrame:
     """Per player and gameweek: the filtered mean fused with the smoothed beliefs' mixture."""
-    rows = smoothed(runs).select("player_id", F.explode(F.arrays_zip("obs", "kf", "hm_smooth")).alias("x")).withColumn("m", hmm.moments(F.col("x.hm_smooth"), floor=fixed.VARIANCE_FLOOR))
+    rows = smoothed(runs, undefined=undefined).select("player_id", F.explode(F.arrays_zip("obs", "kf", "hm_smooth")).alias("x")).withColumn("m", hmm.moments(F.col("x.hm_smooth"), floor=fixed.VARIANCE_FLOOR))
     joint = fuse(F.col("m.mean"), F.col("m.var"), F.col("x.kf.mean"), F.col("x.kf.var"))
     return rows.withColumn("__f", joint).select("player_id", F.col("x.obs.gameweek").alias("gameweek"), F.col("__f.mean").alias("mean"), F.col("__f.var").alias("var"))
 

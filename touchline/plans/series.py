@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline import fixed
 from touchline.functions import fixtures as fx
 from touchline.functions import news
+from touchline.functions.arrays import nearest
 from touchline.functions.fusion import scale_by_fixtures
 from touchline.operators import enriched as en
 from touchline.operators import features as ft
@@ -27,6 +28,11 @@ def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def nearest_of(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
+    """As ``rounded``, with halves as the SQL has them."""
+    return df.withColumns({c: nearest(F.col(c), digits) for c in columns})
+
+
 def steady(df: DataFrame, columns: list[str]) -> DataFrame:
     """To six digits; a value just at a boundary is moved off it first, since engines differ there by their last bits."""
     return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in columns})

@@ -18,6 +18,7 @@ NAMES = [
     "fuse_estimates",
     "hmm_predict",
     "news_perturbation",
+    "fusion_alpha",
 ]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.arrays import ewma
+from touchline.functions.arrays import bind
 from touchline.functions.scoring import expected_points, zero_if_null
 
 from .gameweek import in_order
@@ -72,10 +72,29 @@ def enriched(df: DataFrame, *, alpha: float = 0.3, lookback: int = 15, fixture:
     out = df.withColumn("__h", F.collect_list(F.struct(*[zero_if_null(get(c)).alias(c) for c in STATS])).over(past))
     if fixture:
         out = out.withColumns(venue_factors(df)).withColumn("opponent_factor", opponent_factor(df))
-    return _forecast(out, alpha, fixture, get)
+    return _forecast(out, alpha, lookback, fixture, get)
 
 
-def _forecast(out: DataFrame, alpha: float, fixture: bool, get: Callable[[str], Column]) -> DataFrame:
+def weighted_sum(values: Column, alpha: float, most: int) -> Column:
+    """The last exponentially weighted mean of an array of ``most`` values or fewer, 0 for none: a sum of each value by its power and its
+    share, from the first on. ``arrays.ewma`` folds; its last bits differ."""
+    powers = F.array(*[F.lit((1 - alpha) ** k) for k in range(max(most, 1))])
+    parts = F.transform(values, lambda v, i: v * F.element_at(powers, F.size(values) - i) * F.when(i == 0, 1.0).otherwise(alpha))
+    return F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
+
+
+def variance(values: Column) -> Column:
+    """The mean square around the mean in one pass; null for none."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("sq"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1.0
+        return bind(acc["mean"] + (x - acc["mean"]) / n, lambda m: F.struct(n.alias("n"), m.alias("mean"), (acc["sq"] + (x - m) * (x - acc["mean"])).alias("sq")))
+
+    return F.aggregate(values, start, step, lambda acc: F.when(acc["n"] > 0, acc["sq"] / acc["n"]))
+
+
+def _forecast(out: DataFrame, alpha: float, lookback: int, fixture: bool, get: Callable[[str], Column]) -> DataFrame:
     h = F.col("__h")
     zero = lambda c: F.forall(h, lambda x: x[c] == 0)
     scored = lambda x: F.struct(expected_points(lambda c: x[c], F.col("position"), F.when(F.col("__nog"), x["goals"]).otherwise(x["xG"]), F.when(F.col("__noa"), x["assists"]).otherwise(x["xA"])).alias("x"), x["points"].alias("p"))
@@ -84,11 +103,11 @@ def _forecast(out: DataFrame, alpha: float, fixture: bool, get: Callable[[str],
     mean = lambda arr: F.try_divide(F.aggregate(arr, F.lit(0.0), lambda a, b: a + b), F.nullif(F.size(arr), F.lit(0)))
     recent = F.slice(h, F.greatest(F.lit(1), F.size(h) - 2), 3)
     out = out.withColumn("__avail", mean(F.transform(recent, lambda x: (x["minutes"] > 0).cast("double"))))
-    out = out.withColumn("__res", F.transform("__s", lambda s: s["p"] - s["x"])).withColumn("__mres", mean(F.col("__res")))
-    out = out.withColumn("__var", mean(F.transform("__res", lambda r: (r - F.col("__mres")) * (r - F.col("__mres")))) + 1.0)
+    out = out.withColumn("__res", F.transform("__s", lambda s: s["p"] - s["x"]))
+    out = out.withColumn("__var", variance(F.col("__res")) + 1.0)
     out = out.withColumn("__neg", F.transform(F.filter("__res", lambda r: r < 0), lambda r: r * r))
     out = out.withColumn("__down", F.when(F.size("__neg") >= 2, F.sqrt(mean(F.col("__neg")))).otherwise(F.sqrt("__var") * 0.5))
-    form = F.greatest(F.lit(0.0), ewma(F.transform("__s", lambda s: s["x"]), alpha))
+    form = F.greatest(F.lit(0.0), weighted_sum(F.transform("__s", lambda s: s["x"]), alpha, lookback))
     if fixture:
         form = form * F.when(zero_if_null(F.col("was_home").cast("double")) > 0.5, F.col("home_factor")).otherwise(F.col("away_factor")) * F.col("opponent_factor")
         form = F.when(zero_if_null(get("xP")) > 0, 0.7 * form + 0.3 * zero_if_null(get("xP"))).otherwise(form)

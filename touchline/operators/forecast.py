@@ -125,7 +125,10 @@ def weighted(means: dict[str, float]) -> Column:
 def live_blend(enr_mean: Column, enr_var: Column, enr_down: Column, mv_mean: Column, mv_var: Column, recent: Column, news_availability: Column, *, alpha: float = 0.8) -> dict[str, Column]:
     """Forecast before a deadline: a fixed blend times the smaller of recent and reported availability, with floors."""
     avail = F.least(F.greatest(F.lit(0.05), recent), F.coalesce(news_availability, F.lit(1.0)))
-    down = alpha * enr_down + (1 - alpha) * F.sqrt(F.greatest(mv_var, F.lit(0.0)) / 2)
-    return {"mean": F.greatest(F.lit(0.0), (alpha * enr_mean + (1 - alpha) * mv_mean) * avail), "var": F.greatest(F.lit(0.1), (alpha**2 * enr_var + (1 - alpha) ** 2 * mv_var) * avail), "downside": F.greatest(F.lit(0.0), down * avail)}
+    # the weights as decimals: 0.2, 0.64 and 0.04 for 0.8, not what differences and squares leave in their last bits
+    rest = round(1 - alpha, 15)
+    square, rest_square = round(alpha**2, 15), round(rest**2, 15)
+    down = alpha * enr_down + rest * F.sqrt(F.greatest(mv_var, F.lit(0.0)) / 2)
+    return {"mean": F.greatest(F.lit(0.0), (alpha * enr_mean + rest * mv_mean) * avail), "var": F.greatest(F.lit(0.1), (square * enr_var + rest_square * mv_var) * avail), "downside": F.greatest(F.lit(0.0), down * avail)}
 
 
